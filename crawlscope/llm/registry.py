@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import line_dedup
+from crawlscope.llm import line_dedup, simhash
 
-_MODULES = [line_dedup]
+_MODULES = [line_dedup, simhash]
 
 
 def queries() -> dict:
