@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import ASCII_SPACE, ascii_lower, replace_columns
+from crawlscope.llm.common import ASCII_SPACE, ascii_lower
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _stripped(line: Column) -> Column:
+    """The line without ASCII white space at its ends; the usual line, where only spaces can stand there, takes a fast path."""
+    rare = [F.contains(line, F.lit(c)) for c in ASCII_SPACE if c not in " \n"]
+    return F.when(rare[0] | rare[1] | rare[2] | rare[3], F.btrim(line, F.lit(ASCII_SPACE))).otherwise(F.trim(line))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Drop repeated lines; returns the columns of docs with the kept text, and n_lines, n_dropped (long).
 
@@ -31,13 +37,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     src = docs.select(F.struct(*rest).alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("th"))
 
-    key = ascii_lower(F.btrim(F.col("line"), F.lit(ASCII_SPACE)))
-    lines = (
-        src.select("id", "th", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-        .select("id", "th", "pos", key.alias("key"))
-        .where(F.char_length("key") >= min_chars)
-        .select("id", "th", "pos", F.unhex(F.md5("key")).alias("h"))
-    )
+    # Two transforms, so that each stripped line is made once; outer, so that no filter evaluates the array again.
+    keys = F.transform(F.transform(_lines(F.col("text")), _stripped), lambda x: F.when(F.char_length(x) >= min_chars, F.unhex(F.md5(ascii_lower(x)))))
+    lines = src.select("id", "th", F.posexplode_outer(keys).alias("pos", "h")).where(F.col("h").isNotNull())
     hot = lines.groupBy("h").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
     drop = (
         lines.join(hot.select("h", "keep"), "h")
