@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, line_dedup, mixing, simhash
+from crawlscope.llm import chat, gif, line_dedup, mixing, simhash
 
-_MODULES = [line_dedup, simhash, mixing, chat]
+_MODULES = [line_dedup, mixing, simhash, gif, chat]
 
 
 def queries() -> dict:
