@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, gif, line_dedup, mixing, simhash
+from crawlscope.llm import chat, gif, langid, line_dedup, mixing, simhash
 
-_MODULES = [line_dedup, mixing, simhash, gif, chat]
+_MODULES = [line_dedup, mixing, simhash, gif, chat, langid]
 
 
 def queries() -> dict:
