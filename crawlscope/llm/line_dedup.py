@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import ASCII_SPACE, ascii_lower
+from crawlscope.llm.common import ASCII_SPACE, ascii_lower, save
 
 
 def _lines(text: Column) -> Column:
@@ -40,9 +40,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Two transforms, so that each stripped line is made once; outer, so that no filter evaluates the array again.
     keys = F.transform(F.transform(_lines(F.col("text")), _stripped), lambda x: F.when(F.char_length(x) >= min_chars, F.unhex(F.md5(ascii_lower(x)))))
     lines = src.select("id", "th", F.posexplode_outer(keys).alias("pos", "h")).where(F.col("h").isNotNull())
-    hot = lines.groupBy("h").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
+    # As a table of its own, its true size decides how it is joined, and adaptive execution can split a hot hash.
+    hot = save(lines.groupBy("h").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs).select("h", "keep"), "hot-lines")
     drop = (
-        lines.join(hot.select("h", "keep"), "h")
+        lines.join(hot, "h")
         .where(~F.col("id").eqNullSafe(F.col("keep")))
         .groupBy(F.col("id").alias("drop_id"), F.col("th").alias("drop_th"))
         .agg(F.array_sort(F.collect_set("pos")).alias("at"))
