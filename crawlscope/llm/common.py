@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +89,34 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     # At the fixed point each link leads from the least node of a component to another of its nodes.
     return now.select(b.alias("node"), a.alias("component")).unionByName(now.select(a.alias("node"), a.alias("component")).distinct())
+
+
+def in_blocks(members: DataFrame, key: str, member: str, block: int) -> DataFrame:
+    """members dealt to cells (key, i, j) so that any two members of a key meet in one cell, and none has many more than
+    2 * block members; adds i, j and side (0: of block i, 1: of block j; cells with i = j have side 0 alone).
+
+    A key with n members falls into ceil(n / block) blocks by the hash of the member. Small keys stay one cell.
+    """
+    sizes = save(members.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("n_blocks")), "block-sizes")
+    met = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(F.lit(17), F.col(member)), F.col("n_blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    own, other = F.col("own"), F.col("other")
+    return met.select(*members.columns, F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own > other).cast("int").alias("side"))
+
+
+def forest(close: np.ndarray) -> tuple[list[int], list[int]]:
+    """(parent, child) pairs of a breadth-first spanning forest of a symmetric boolean matrix."""
+    left = np.ones(len(close), bool)
+    parents, children = [], []
+    for i in range(len(close)):
+        if left[i]:
+            left[i] = False
+            front = [i]
+            while front:
+                p = front.pop()
+                new = np.flatnonzero(close[p] & left)
+                left[new] = False
+                front += new.tolist()
+                parents += [p] * len(new)
+                children += new.tolist()
+    return parents, children

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, gif, langid, line_dedup, mixing, quality, simhash
+from crawlscope.llm import chat, embedding_dedup, gif, langid, line_dedup, mixing, quality, simhash
 
-_MODULES = [line_dedup, mixing, simhash, gif, chat, quality, langid]
+_MODULES = [line_dedup, embedding_dedup, mixing, simhash, gif, chat, quality, langid]
 
 
 def queries() -> dict:
