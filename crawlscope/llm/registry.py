@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from crawlscope.llm import chat, embedding_dedup, gif, langid, line_dedup, mixing, quality, simhash, substring_dedup
+from crawlscope.llm import chat, embedding_dedup, gif, langid, line_dedup, mixing, pieces, quality, simhash, substring_dedup
 
-_MODULES = [line_dedup, embedding_dedup, mixing, simhash, substring_dedup, gif, chat, quality, langid]
+_MODULES = [line_dedup, embedding_dedup, mixing, simhash, substring_dedup, gif, chat, quality, pieces, langid]
 
 
 def queries() -> dict:
