@@ -46,7 +46,7 @@ def classifier_text(title: Column, description: Column, keywords: Column, domain
     """struct(text, has_metadata): what the ensemble reads."""
     parts = [null_words(c) for c in (title, description, keywords)]
     name = F.when(domain_name != "", domain_name)
-    return F.struct(F.concat_ws(" ", *parts, name).alias("text"), F.coalesce(*[p.isNotNull() & p.isNotNull() for p in [F.coalesce(*parts)]]).alias("has_metadata"))
+    return F.struct(F.concat_ws(" ", *parts, name).alias("text"), F.coalesce(*parts).isNotNull().alias("has_metadata"))
 
 
 def topic_text(clean_domain: Column, title: Column, description: Column) -> Column:
