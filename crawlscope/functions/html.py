@@ -76,9 +76,12 @@ def parse(html: str | None) -> _Page:
     return page
 
 
-@F.pandas_udf(METADATA)
-def page_metadata(html: pd.Series) -> pd.DataFrame:
-    """Title (500), description and keywords (1000), og title (500), description (1000) and type (100); null where absent or empty."""
+def page_metadata(html: Column) -> Column:
+    """struct(METADATA): title (500), description and keywords (1000), og title (500), description (1000) and type (100); null where absent or empty."""
+    return F.pandas_udf(_metadata, METADATA)(html)
+
+
+def _metadata(html: pd.Series) -> pd.DataFrame:
     rows = []
     for text in html:
         p = parse(text)
@@ -91,10 +94,12 @@ def page_metadata(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in METADATA.split(", ")])
 
 
-@F.pandas_udf("string")
-def page_content(html: pd.Series) -> pd.Series:
+def page_content(html: Column) -> Column:
     """Labelled title, description, keywords, og fields and the first 1000 characters of the main text, joined by " | "."""
+    return F.pandas_udf(_content, "string")(html)
+
 
+def _content(html: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         p = parse(text)
         parts = [] if p.title is None else [f"Title: {p.title.strip()}"]

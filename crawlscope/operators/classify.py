@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,27 @@ def nearest(rows: DataFrame, vector: str, groups: DataFrame, group: str, group_v
     return made.select(*rows.columns, F.col("best.g").alias("best"), F.col("best.s").alias("similarity"))
 
 
+def nearest_in_catalogue(vector: Column, vectors: dict[str, list[float]]) -> Column:
+    """struct(category, confidence): the category of a bounded catalogue whose vector has the largest cosine, the first among
+    equals; null for a zero vector. One matrix product for each Arrow batch."""
+    names = list(vectors)
+    unit = np.array(list(vectors.values()), float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+
+    def pick(v: pd.Series) -> pd.DataFrame:
+        x = np.stack(v.to_list()).astype(float) if len(v) else np.zeros((0, unit.shape[1]))
+        norm = np.linalg.norm(x, axis=1)
+        sims = np.round(x @ unit.T / np.maximum(norm, 1e-300)[:, None], 9)
+        best = sims.argmax(axis=1)
+        none = norm == 0
+        return pd.DataFrame({
+            "category": [None if z else names[b] for b, z in zip(best, none, strict=True)],
+            "confidence": [None if z else float(r[b]) for r, b, z in zip(sims, best, none, strict=True)],
+        })
+
+    return F.pandas_udf(pick, "category string, confidence double")(vector)
+
+
 def vote_counts(votes: DataFrame, key: str) -> DataFrame:
     """(key, n_votes, n_distinct, top, n_tied, mean_confidence): of votes (key, category, confidence)."""
     each = votes.groupBy(key, "category").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("c"))

@@ -44,7 +44,7 @@ def bottleneck(cpu: Column, memory: Column, connections: Column, mb_per_s: Colum
 def rolling(df: DataFrame, key: str, order: list[str], value: str, rows: int) -> DataFrame:
     """df with the mean and the maximum of the last `rows` values within a key."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    return df.withColumns({"rolling_mean": F.round(F.avg(value).over(w), 6), "rolling_max": F.max(value).over(w)})
+    return df.withColumns({"rolling_mean": F.round(F.avg(value).over(w), 8), "rolling_max": F.max(value).over(w)})
 
 
 def deltas(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
