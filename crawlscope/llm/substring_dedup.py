@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crawlscope.llm.common import connected_components, forest, in_blocks, save, small_batches
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words in a shingle.
 SHINGLE = 5
 #: A cut stands before a word pair whose hash is the least among so many to either side.
@@ -61,7 +64,9 @@ class Paragraphs:
         line_of = np.zeros(len(w), np.int64)
         line_of[first[1:]] = 1
         line_of = np.cumsum(line_of)
-        pair = _mixed(w + np.uint64(3) * np.append(w[1:], w[:1]))
+        after = np.append(w[1:], np.uint64(0))
+        after[np.array(first[1:], np.int64) - 1] = 0  # the last word of a line has none
+        pair = _mixed(w + np.uint64(3) * after)
         # Room between lines, so that no neighbourhood reaches over a newline.
         far = np.full(len(w) + REACH * (len(first) + 1), np.iinfo(np.uint64).max, np.uint64)
         place = np.arange(len(w)) + REACH * (line_of + 1)
@@ -216,6 +221,42 @@ def repeated_paragraphs(
     return runs.withColumn("run_words", total).where(F.col("run_words") >= min_words).select("doc", "paragraph", "n_words", "kept_doc", "cluster")
 
 
+def without_paragraphs(text: str, gone: set[int]) -> str:
+    """The text without the paragraphs of these numbers; a line that loses all its words goes with its newline."""
+    p = Paragraphs([text])
+    out, word = [], 0
+    cut = np.zeros(int(p.size.sum()), bool) if p.n else np.zeros(0, bool)
+    for i in gone:
+        cut[p.start[i] : p.start[i] + p.size[i]] = True
+    for line in text.split("\n"):
+        at = [m.start() for m in _WORD.finditer(line)]
+        mine = cut[word : word + len(at)]
+        word += len(at)
+        if not mine.any():
+            out.append(line)
+        elif not mine.all():
+            ends = [*at[1:], len(line)]
+            out.append((line[: at[0]] + "".join(line[a:b] for a, b, c in zip(at, ends, mine, strict=True) if not c)).rstrip(" \t"))
+    return "\n".join(out)
+
+
+def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the texts that repeated_paragraphs() leaves, and n_removed (long), which replaces a column of that name.
+
+    Texts without a removal are as they were, null ones too. Each text crosses the network once, to meet its list.
+    """
+    gone = repeated_paragraphs(docs, id_col, text_col, **options).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set("paragraph").alias("gone"))
+
+    @F.pandas_udf("string")
+    def rebuilt(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or g is None else without_paragraphs(t, set(g.tolist())) for t, g in zip(texts, lists, strict=True)], dtype=object)
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, F.col("row")[id_col].cast("long") == F.col("gone_doc"), "left")
+    text = rebuilt(F.col("row")[text_col], F.col("gone"))
+    cols = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "n_removed"]
+    return rows.select(*cols, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeated_paragraphs(docs).withColumnsRenamed({"doc": "doc_id", "kept_doc": "kept_doc_id", "cluster": "cluster_id"})

@@ -427,3 +427,14 @@ def test_language(spark, odd):
     assert empty[0] == [] and {r.lang_pred for r in langid.identify_languages(odd, *empty).collect()} == {"und"}
     x = langid.Encoder(64, 1)
     assert np.array_equal(x.vectors(np.array([ord("a") << 42 | ord("b") << 21 | ord("c")]))[0], np.roll(x._letter(97), 2) * np.roll(x._letter(98), 1) * x._letter(99))
+
+
+def test_removal_leaves_the_rest(spark):
+    assert substring_dedup.without_paragraphs("a b c", set()) == "a b c"
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join(f"{rng.integers(1e6)}" for _ in range(n))
+    shared, own = prose(60), prose(50)
+    rows = [(1, shared, "s"), (2, f"{own}\n{shared}\n\n tail  of it", "s"), (3, None, "s")]
+    out = {r.doc_id: r for r in substring_dedup.drop_repeated(docs(spark, rows)).collect()}
+    assert out[1].text == shared and out[1].n_removed == 0 and out[3].text is None
+    assert out[2].text == f"{own}\n\n tail  of it" and out[2].n_removed > 0
