@@ -81,18 +81,19 @@ def look_up_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """(order, batch, done_pct): number of the batch of each row in order, and the share done after its batch's row.
-
-    The row number comes from ranges: range partitioning by `order`, counts by partition, and offsets, so that no task
-    sees all rows."""
-    part = df.select(order).repartitionByRange(order).withColumn("p", F.spark_partition_id())
-    local = part.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy(order)))
-    sizes = local.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    ahead = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    total = sizes.agg(F.sum("n").alias("total"))
-    out = local.join(F.broadcast(ahead), "p").crossJoin(F.broadcast(total))
-    place = F.col("k") + F.col("before")
-    return out.select(order, F.floor((place - 1) / F.lit(size)).cast("long").alias("batch"), F.round(100 * place / F.col("total"), 6).alias("done_pct"))
+    """(order, batch, done_pct): number of the batch of each row in order, and the share done with that row. order is an integer column.
+
+    The row number comes from ranges of the column: rows are numbered within a range, and ranges are offset by the counts of
+    those before them, so no task sees all rows."""
+    lo, hi, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    width = max(1, -(-(int(hi) - int(lo) + 1) // max(1, n // 100_000))) if n else 1
+    rows = df.select(order).where(F.col(order).isNotNull()).withColumn("p", F.floor((F.col(order) - F.lit(lo or 0)) / F.lit(width)).cast("long"))
+    # Ranges are some 100,000 rows each where ids are dense; their table is small.
+    sizes = rows.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    ahead = sizes.select("p", (F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("p")) - F.col("c")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("p").orderBy(order)) + F.col("before")
+    out = rows.join(ahead, "p").withColumn("k", place)
+    return out.select(order, F.floor((F.col("k") - 1) / F.lit(size)).cast("long").alias("batch"), F.round(100 * F.col("k") / F.lit(n), 6).alias("done_pct"))
 
 
 def share(condition: Column, among: Column | None = None) -> Column:
