@@ -73,6 +73,11 @@ class Paragraphs:
         far[place] = pair
         before = np.lib.stride_tricks.sliding_window_view(far, REACH).min(axis=1)
         cut = (pair < before[place - REACH]) & (pair <= before[place + 1])
+        # None so near a line's start or end that what it leaves there has no shingle.
+        begin = np.array(first, np.int64)
+        into = np.arange(len(w)) - begin[line_of]
+        to_go = np.append(begin[1:], len(w))[line_of] - np.arange(len(w))
+        cut &= (into >= SHINGLE) & (to_go >= SHINGLE)
         cut[first] = True
         start = np.flatnonzero(cut)
         size = np.diff(np.append(start, len(w)))
