@@ -17,8 +17,6 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 #: A cut stands before a word pair whose hash is the least among so many to either side.
 REACH = 6
-#: Tables of up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def tune_bands(similarity: float, recall: float = 0.99, max_hashes: int = 64) -> tuple[int, int]:
@@ -123,17 +121,14 @@ def repeated_paragraphs(
 
     Keys are found with map-side combine (the least and largest member of a key tell whether there are two), so a
     passage that a third of all documents hold is never gathered; members of a key are compared in blocks. Null and empty texts have no paragraphs. Rows without an id are left
-    out; ids are integers. Rows that repeat an id are one document. Tables of keys and removals are broadcast up to
-    BROADCAST_ROWS rows and shuffled beyond.
+    out; ids are integers. Rows that repeat an id are one document. Tables of keys and removals are written
+    first, so their true size decides how Spark joins them.
     """
     spark = docs.sparkSession
     small_batches(spark, 512)
     bands, n_rows = tune_bands(similarity, recall)
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
-    def sized(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
     def keyed(batches):  # kind 0: (hash, document), kind i: (key of band i, hash)
         for x in batches:
             p, doc = Paragraphs(x["text"].to_list()), x["doc"].to_numpy()
@@ -157,7 +152,7 @@ def repeated_paragraphs(
                     yield pd.DataFrame({"key": key[k], "h": p.hash[k], "doc": doc[p.doc[k]], "paragraph": p.number[k].astype(np.int32)})
 
     collide = shared.where(F.col("kind") > 0).select("key").distinct()
-    met = src.mapInPandas(members, "key long, h long, doc long, paragraph int").join(sized(save(collide, "paragraph-collisions")), "key")
+    met = src.mapInPandas(members, "key long, h long, doc long, paragraph int").join(save(collide, "paragraph-collisions"), "key")
     met = save(met.groupBy("key", "h").agg(F.min(F.struct("doc", "paragraph")).alias("at"), F.min("doc").alias("lo"), F.max("doc").alias("hi")), "paragraph-members")
     each = met.groupBy("h").agg(F.min("at").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     need = save(each.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.col("h")).alias("hs")), "paragraph-needs")
@@ -176,7 +171,7 @@ def repeated_paragraphs(
                     out[h] = np.unique(p.shingle[a : a + p.size[i] - SHINGLE + 1]).view(np.int64)
             yield pd.DataFrame({"h": np.fromiter(out, np.int64, len(out)), "set": list(out.values())})
 
-    sets = src.join(sized(need), "doc").select("text", "hs").mapInPandas(shingles, "h long, set array<long>")
+    sets = src.join(need, "doc").select("text", "hs").mapInPandas(shingles, "h long, set array<long>")
     sets = save(sets.groupBy("h").agg(F.first("set").alias("set")), "paragraph-shingles")
     cells = in_blocks(met.select("key", "h"), "key", "h", block).join(sets, "h")
     cells = cells.groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "side", "set")).alias("m"))
@@ -220,7 +215,7 @@ def repeated_paragraphs(
                 k = p.keep
                 yield pd.DataFrame({"h": p.hash[k], "doc": doc[p.doc[k]], "paragraph": p.number[k].astype(np.int32), "n_words": p.size[k].astype(np.int32)})
 
-    rows = src.mapInPandas(placed, "h long, doc long, paragraph int, n_words int").join(sized(remove), "h").where(F.col("doc") != F.col("kept_doc")).drop("h").distinct()
+    rows = src.mapInPandas(placed, "h long, doc long, paragraph int, n_words int").join(remove, "h").where(F.col("doc") != F.col("kept_doc")).drop("h").distinct()
     runs = rows.withColumn("run", F.col("paragraph") - F.dense_rank().over(Window.partitionBy("doc").orderBy("paragraph")))
     total = F.sum("n_words").over(Window.partitionBy("doc", "run"))
     return runs.withColumn("run_words", total).where(F.col("run_words") >= min_words).select("doc", "paragraph", "n_words", "kept_doc", "cluster")
