@@ -139,3 +139,8 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; null if either is zero."""
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def column_report(df: DataFrame) -> dict[str, str | None]:
+    """Which column each known field would be read from, by its names alone: looks at the schema, never at rows."""
+    return {field: resolve(df.columns, names) for field, names in FIELD_NAMES.items()}

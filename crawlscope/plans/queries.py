@@ -13,6 +13,7 @@ from crawlscope.operators import domains as D
 from crawlscope.operators import fetching as E
 from crawlscope.operators import topics as P
 from crawlscope.sources.providers import ask_labels, fetch_pages, hashed_embedding
+from crawlscope.streaming.ingest import windowed_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -447,3 +448,61 @@ def offline_fetch(spark, sf_dir):
 
     got = fetch_pages(D.with_domain(table(spark, sf_dir, "pages", "url"), "url").select("domain"), fetcher)
     return got.select("domain", "asked", "redirect_url", "status_code", "error", page_metadata(F.col("html")).alias("m")).select("domain", "asked", "redirect_url", "status_code", "error", "m.title")
+
+
+@query(
+    f"""SELECT page_id, 'https://' || d AS asked, 'http://' || d AS plain, CASE WHEN page_id % 3 > 0 AND final <> 'https://' || d THEN final END AS redirect_url
+FROM (SELECT page_id, d, CASE WHEN page_id % 2 = 0 THEN 'https://' || d ELSE 'https://' || d || '/home' END AS final FROM (SELECT page_id, {_DOMAIN} AS d FROM pages))"""
+)
+def fetch_urls(spark, sf_dir):
+    d = U.domain_of(F.col("url"))
+    pages = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", F.when(F.pmod("page_id", F.lit(5)) == 0, F.concat(F.lit(" @"), d)).otherwise(d).alias("d"))
+    asked = U.fetch_url(F.col("d"))
+    final = F.when(F.pmod("page_id", F.lit(2)) == 0, asked).otherwise(F.concat(asked, F.lit("/home")))
+    return pages.select("page_id", asked.alias("asked"), U.plain_http(asked).alias("plain"), U.redirect_url(asked, final, F.pmod("page_id", F.lit(3))).alias("redirect_url"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN cpu > 85 THEN 'cpu' WHEN mem > 90 THEN 'memory' WHEN con > 800 THEN 'connections' WHEN mb > 50 THEN 'network' WHEN cpu < 40 AND con < 300 THEN 'more workers possible' ELSE 'none' END AS found,
+  CASE WHEN st = 429 THEN least(d * 1.5, 2.0) WHEN st = 200 THEN greatest(d * 0.95, 0.05) ELSE d END AS delay
+FROM (SELECT event_id, event_id % 97 AS cpu, event_id % 101 AS mem, event_id % 1009 AS con, event_id % 61 AS mb, CASE event_id % 3 WHEN 0 THEN 429 WHEN 1 THEN 200 ELSE 500 END AS st, CAST(event_id % 8 AS DOUBLE) / 4 AS d FROM events)"""
+)
+def machine_bottlenecks(spark, sf_dir):
+    i = F.col("event_id")
+    m = lambda k: F.pmod(i, F.lit(k))
+    status = F.when(m(3) == 0, 429).when(m(3) == 1, 200).otherwise(500)
+    return table(spark, sf_dir, "events", "event_id").select("event_id", E.bottleneck(m(97), m(101), m(1009), m(61)).alias("found"), E.adapted_delay(m(8).cast("double") / 4, status).alias("delay"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return windowed_counts(table(spark, sf_dir, "events", "ts", "event_type"))
+
+
+@query(f"SELECT page_id, {_DOMAIN} || ' ' || url || coalesce(' ' || nullif({_TITLE}, ''), '') AS label_text FROM pages")
+def label_texts(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    rows = pages.select("page_id", U.domain_of(F.col("url")).alias("domain"), "url", page_title(F.col("html")).alias("title"), F.lit("None").alias("keywords"))
+    return rows.select("page_id", T.label_text(rows).alias("label_text"))
+
+
+@query(f"SELECT domain, count, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY count DESC, domain) AS INTEGER) AS rank FROM ({_COUNTS})) WHERE rank <= 10")
+def top_domains(spark, sf_dir):
+    """A top-k report: the limit is the feature, and leaves ten rows to number."""
+    top = D.ranked(D.domain_counts(table(spark, sf_dir, "pages", "url"), "url")).limit(10)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("count"), "domain")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '*' ELSE '' END || CASE doc_id % 3 WHEN 0 THEN 'Travel' WHEN 1 THEN 'Other' ELSE 'Unknown' END AS label FROM documents")
+def category_names(spark, sf_dir):
+    names = F.when(F.pmod("doc_id", F.lit(3)) == 0, "Ταξίδια").when(F.pmod("doc_id", F.lit(3)) == 1, "Άλλο").otherwise("Unknown")
+    marked = F.concat(F.when(F.pmod("doc_id", F.lit(2)) == 0, "*").otherwise(""), names)
+    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", C.to_english(marked, {"Ταξίδια": "Travel", "Άλλο": "Other"}).alias("label"))
+
+
+@query(
+    f"""SELECT vec_id, conflict, n_tied FROM (SELECT doc_id AS vec_id, count(*) FILTER (WHERE n = top) AS n_tied, count(*) FILTER (WHERE n = top) > 1 AS conflict
+FROM (SELECT doc_id, category, count(*) AS n, max(count(*)) OVER (PARTITION BY doc_id) AS top FROM {_VOTES} GROUP BY 1, 2) GROUP BY doc_id)"""
+)
+def vote_ties(spark, sf_dir):
+    return C.vote_counts(_votes(spark, sf_dir), "doc_id").select(F.col("doc_id").alias("vec_id"), (F.col("n_tied") > 1).alias("conflict"), "n_tied")
