@@ -92,11 +92,17 @@ def label_text(df: DataFrame, positional: bool = False) -> Column:
     return joined(*[null_words(F.col(f"`{c}`").cast("string")) for c in cols if c])
 
 
-def label_prompt(text: Column, categories: Sequence[str]) -> Column:
-    """The question to a language model: the numbered categories and the text."""
+def prompt_parts(categories: Sequence[str]) -> tuple[str, str]:
+    """What stands before and after the text in a question to a language model."""
     listed = "\n".join(f"{i}. {c}" for i, c in enumerate(categories, 1))
     head = f"Choose the one category that fits this website best. Answer with its name alone, or with Other.\n\n{listed}\n\nWebsite:\n"
-    return F.concat(F.lit(head), text, F.lit("\n\nCategory:"))
+    return head, "\n\nCategory:"
+
+
+def label_prompt(text: Column, categories: Sequence[str]) -> Column:
+    """The question to a language model: the numbered categories and the text; null if there is none."""
+    head, tail = prompt_parts(categories)
+    return F.concat(F.lit(head), text, F.lit(tail))
 
 
 def clean_response(c: Column) -> Column:

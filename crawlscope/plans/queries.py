@@ -161,7 +161,18 @@ def page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", page_title(F.col("html")).alias("title"))
 
 
-@query()
+_WITH_META = """CASE WHEN page_id % 2 = 0 THEN replace(html, '</head>', '<meta name="description" content="d' || page_id || '"><meta property="og:type" content="article"></head>') ELSE html END"""
+
+
+def _meta_sql(kind: str, name: str) -> str:
+    return f"""nullif(regexp_extract(html, '<meta {kind}="{name}" content="([^"]*)"', 1), '')"""
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN contains(html, '<title') THEN {_TITLE} END AS title, coalesce({_meta_sql("name", "description")}, {_meta_sql("property", "og:description")}) AS meta_description,
+  {_meta_sql("name", "keywords")} AS keywords, {_meta_sql("property", "og:title")} AS og_title, {_meta_sql("property", "og:description")} AS og_description, {_meta_sql("property", "og:type")} AS og_type
+FROM (SELECT page_id, {_WITH_META} AS html FROM pages)"""
+)
 def metadata_extract(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "html")
     tag = F.concat(F.lit('<meta name="description" content="d'), F.col("page_id").cast("string"), F.lit('"><meta property="og:type" content="article"></head>'))
@@ -367,7 +378,14 @@ def llm_label_parse(spark, sf_dir):
     return rows.select("conv_id", "turn", "m.*")
 
 
-@query()
+_PROMPT_SIZE = sum(map(len, T.prompt_parts([c.name for c in C.CATALOGUE if c.name != C.OTHER])))
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN t IS NULL THEN 'Other' ELSE list_extract({_NAMES}, CAST((length(t) + {_PROMPT_SIZE}) % {len(C.CATALOGUE) - 1} AS INTEGER) + 1) END AS category,
+  CAST(CASE WHEN t IS NULL THEN 1.0 ELSE 0.8 END AS DOUBLE) AS confidence
+FROM (SELECT page_id, CASE WHEN lower(x) NOT IN ('none', 'null', 'nan', '') THEN x END AS t FROM (SELECT page_id, {_TITLE} AS x FROM pages))"""
+)
 def llm_labels(spark, sf_dir):
     """Asks a scripted client about every page's title."""
     pages = table(spark, sf_dir, "pages", "page_id", "html").select("page_id", page_title(F.col("html")).alias("title"))
@@ -435,7 +453,12 @@ def text_features(spark, sf_dir):
     return pages.select("page_id", T.topic_text(F.lower(U.domain_of(F.col("url"))), page_title(F.col("html")), F.lit(None).cast("string")).alias("features"))
 
 
-@query()
+@query(
+    f"""SELECT domain, asked, CASE WHEN answered THEN asked || '/' END AS redirect_url, CAST(CASE WHEN answered THEN CASE WHEN length(asked) % 11 = 0 THEN 429 ELSE 200 END END AS INTEGER) AS status_code,
+  CASE WHEN NOT answered THEN 'Timeout' END AS error, CASE WHEN answered THEN asked END AS title
+FROM (SELECT domain, CASE WHEN first THEN 'https://' || domain ELSE 'http://' || domain END AS asked, first OR length(domain) % 7 <> 0 AS answered
+  FROM (SELECT DISTINCT {_DOMAIN} AS domain, (length({_DOMAIN}) + 8) % 7 <> 0 AND (length({_DOMAIN}) + 8) % 3 <> 0 AS first FROM pages WHERE {_DOMAIN} IS NOT NULL))"""
+)
 def offline_fetch(spark, sf_dir):
     """Fetches every domain from a scripted fetcher: plain http answers alone for some, others never do."""
 

@@ -2,6 +2,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from crawlscope.__main__ import main
 from crawlscope.operators import domains as D
 from crawlscope.sources.providers import ask_with_retry, fetch_pages
 from crawlscope.sources.readers import FLAT_SCHEMA, files_in_order, line_counts, read_jsonl
@@ -74,3 +75,22 @@ def test_retry_waits():
 
     assert ask_with_retry(client, "p", sleep=waits.append) == "ok"
     assert waits == [5, 1]
+
+
+def test_command_line(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "1.jsonl").write_text(LINES + '\n{"u":"http://c.gr/home","text":"four"}\n{"u":"http://c.gr/other"}\n')
+    main(["domains", str(src), out])
+    want = {"a.gr": 2, "b.gr": 1, "c.gr": 2}
+    assert {r["domain"]: r["count"] for r in spark.read.parquet(out).collect()} == want
+    for _ in range(2):
+        main(["domains", str(src), out, "--checkpoint", str(tmp_path / "ck")])
+        assert {r["domain"]: r["count"] for r in spark.read.parquet(out).collect()} == want
+    (src / "w.zz").write_text('{"warc_headers":{"warc-target-uri":"http://www.d.gr/x"}}\n{"warc_headers":null}\n')
+    main(["domains", str(src), out, "--warc", "--glob", "*.zz"])
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("d.gr", 1)]
+    main(["records", str(src), out, "--glob", "*.jsonl", "--landing"])
+    got = spark.read.parquet(out)
+    assert got.columns[:3] == ["f", "o", "s"] and got.columns[-1] == "text_char_count"
+    assert {(r.u, r.text_char_count) for r in got.collect()} == {("http://a.gr/", 0), ("http://www.b.gr", 0), ("http://c.gr/home", 4)}
