@@ -14,7 +14,7 @@ from crawlscope.llm.line_dedup import dedup_lines
 from crawlscope.llm.mixing import mix_sources
 from crawlscope.llm.pieces import sample_pieces
 from crawlscope.llm.quality import fit_quality, held_out, score_quality
-from crawlscope.llm.simhash import dedup_simhash
+from crawlscope.llm.simhash import dedup_near_copies
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents that score less are rejected.
@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return dedup_simhash(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Keeps one document of each group that pairs at Jaccard 0.8 or more, over five-word shingles, connect."""
+    return dedup_near_copies(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

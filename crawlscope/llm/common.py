@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,3 +129,37 @@ def forest(close: np.ndarray) -> tuple[list[int], list[int]]:
                 parents += [p] * len(new)
                 children += new.tolist()
     return parents, children
+
+
+def jaccard_links(cells: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the members of each cell as all its pairs of sets at Jaccard `similarity` or more do.
+
+    cells: those of in_blocks(), i, j and m, a list of (h, side, set); members of unlike sides alone are compared where i differs from j.
+    """
+
+    def verify(batches):
+        for x in batches:
+            a, b = [], []
+            for i, j, m in zip(x["i"], x["j"], x["m"], strict=True):
+                m = sorted(m, key=lambda r: r["h"])
+                h = np.array([r["h"] for r in m])
+                side = np.array([r["side"] for r in m])
+                size = np.array([len(r["set"]) for r in m])
+                vocabulary, col = np.unique(np.concatenate([r["set"] for r in m]), return_inverse=True)
+                row = np.repeat(np.arange(len(m)), size)
+                both = np.zeros((len(m), len(m)), np.float32)
+                for lo in range(0, len(vocabulary), 4096):
+                    mark = np.zeros((len(m), min(4096, len(vocabulary) - lo)), np.float32)
+                    here = (col >= lo) & (col < lo + 4096)
+                    mark[row[here], col[here] - lo] = 1
+                    both += mark @ mark.T
+                close = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+                np.fill_diagonal(close, False)
+                if i != j:
+                    close &= side[:, None] != side[None, :]
+                p, c = forest(close)
+                a += h[p].tolist()
+                b += h[c].tolist()
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return cells.select("i", "j", "m").mapInPandas(verify, "a long, b long")

@@ -8,11 +8,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import connected_components, save, small_batches
+from crawlscope.llm.common import connected_components, in_blocks, jaccard_links, save, small_batches
 
 #: Bit b of each byte value, the high bit first: fixed by the layout of a big-endian digest.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
+#: MinHash bands, and rows of each, that find near copies: at Jaccard 0.8 a pair meets with a chance of 1 - (1 - 0.8**4)**14 = 0.9994.
+BANDS, ROWS = 14, 4
+_SEEDS = np.random.default_rng(64).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text as a signed integer; see simhash_groups()."""
@@ -139,7 +143,89 @@ def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Where several rows of a group share that id, the one whose key is least stays; wholly equal rows count as one.
     """
-    groups = simhash_groups(docs, id_col, text_col, words, max_bits)
+    return first_of_groups(docs, simhash_groups(docs, id_col, text_col, words, max_bits), id_col, text_col)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted. Words and shingles are those of fingerprint()."""
+    toks = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, toks), np.uint64, len(toks))
+    n, run = max(1, len(w) - words + 1), np.zeros(0, np.uint64)
+    if len(w):
+        run = np.full(n, min(len(w), words), np.uint64)
+        for k in range(min(len(w), words)):
+            run = (run ^ w[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
+            run ^= run >> np.uint64(29)
+    return np.unique(run)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """The MinHash band keys of a set of shingle hashes; none of an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 8192):
+        x = (shingles[None, at : at + 8192] ^ _SEEDS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        np.minimum(least, x.min(axis=1), out=least)
+    return [xxhash.xxh3_64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = 64) -> DataFrame:
+    """(id, row_key, root): rows of equal root are connected by pairs whose sets of `words`-word shingles have Jaccard `similarity` or more.
+
+    Candidates are texts whose SimHash (of these shingles) is within two bits, and texts that share a MinHash band key:
+    at Jaccard 0.8 some 10 of 64 bits differ, a radius within which unlike texts lie as well. Candidates are grouped by components, and
+    all pairs of a group are compared exactly, in blocks; equal sets are one member. Texts without words are one group.
+    Rows, ids and nulls are treated as by simhash_groups().
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def sketch(batches):
+        for x in batches:
+            sets = [shingle_set(t, words) for t in x["text"]]
+            member = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+            yield pd.DataFrame({"id": x["id"], "row_key": x["row_key"], "fp": [fingerprint(t, words) for t in x["text"]], "member": member, "keys": [band_keys(s) for s in sets]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    each = save(texts.mapInPandas(sketch, "id string, row_key string, fp long, member long, keys array<long>").withColumn("id", F.col("id").cast(kind)), "near-docs")
+
+    keys = each.groupBy("member").agg(F.first("keys").alias("keys")).select("member", F.explode("keys").alias("key"))
+    first = save(keys.groupBy("key").agg(F.min("member").alias("a"), F.max("member").alias("b")).where(F.col("a") < F.col("b")), "near-keys")
+    by_band = keys.join(first.select("key", "a"), "key").select("a", F.col("member").alias("b"))
+    prints = each.select("fp", "member").distinct()
+    fps = save(prints.groupBy("fp").agg(F.min("member").alias("a")), "near-fps")
+    by_print = prints.join(fps, "fp").select("a", F.col("member").alias("b"))
+    pairs = links(fps.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("other")).join(fps, "fp")
+    by_bits = pairs.select("a", F.col("other").alias("fp")).join(fps.withColumnRenamed("a", "b"), "fp").select("a", "b")
+    edges = by_band.unionByName(by_print).unionByName(by_bits).where(F.col("a") != F.col("b"))
+    group = save(connected_components(edges, "near-candidates"), "near-candidate-groups")
+
+    need = save(each.select("member", "row_key").join(group.select(F.col("node").alias("member")), "member").groupBy("member").agg(F.min("row_key").alias("row_key")), "near-needs")
+
+    def to_sets(batches):
+        for x in batches:
+            yield pd.DataFrame({"node": x["member"], "set": [shingle_set(t, words).view(np.int64) for t in x["text"]]})
+
+    sets = texts.select("row_key", "text").join(need, "row_key").select("member", "text").mapInPandas(to_sets, "node long, set array<long>")
+    sets = save(sets.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    cells = in_blocks(group, "component", "node", block).join(sets, "node")
+    cells = save(cells.groupBy("component", "i", "j").agg(F.collect_list(F.struct(F.col("node").alias("h"), "side", "set")).alias("m")), "near-cells")
+    small_batches(spark, 8)  # a cell has up to some 2 * block sets
+    found = connected_components(jaccard_links(cells, similarity), "near-components").withColumnRenamed("node", "member")
+    small_batches(spark)
+    return each.join(found, "member", "left").select("id", "row_key", F.coalesce("component", "member").alias("root"))
+
+
+def dedup_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row for each group of near_copies(), chosen as by dedup_simhash()."""
+    return first_of_groups(docs, near_copies(docs, id_col, text_col, words, similarity), id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key"))
     keep = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("keep_key"))
     rows = docs.select(row_key(id_col, text_col).alias("keep_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import connected_components, forest, in_blocks, save, small_batches
+from crawlscope.llm.common import connected_components, in_blocks, jaccard_links, save, small_batches
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words in a shingle.
@@ -176,32 +176,7 @@ def repeated_paragraphs(
     cells = in_blocks(met.select("key", "h"), "key", "h", block).join(sets, "h")
     cells = cells.groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "side", "set")).alias("m"))
 
-    def verify(batches):
-        for x in batches:
-            a, b = [], []
-            for i, j, m in zip(x["i"], x["j"], x["m"], strict=True):
-                m = sorted(m, key=lambda r: r["h"])
-                h = np.array([r["h"] for r in m])
-                side = np.array([r["side"] for r in m])
-                size = np.array([len(r["set"]) for r in m])
-                vocabulary, col = np.unique(np.concatenate([r["set"] for r in m]), return_inverse=True)
-                row = np.repeat(np.arange(len(m)), size)
-                both = np.zeros((len(m), len(m)), np.float32)
-                for lo in range(0, len(vocabulary), 4096):
-                    mark = np.zeros((len(m), min(4096, len(vocabulary) - lo)), np.float32)
-                    here = (col >= lo) & (col < lo + 4096)
-                    mark[row[here], col[here] - lo] = 1
-                    both += mark @ mark.T
-                close = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
-                np.fill_diagonal(close, False)
-                if i != j:
-                    close &= side[:, None] != side[None, :]
-                p, c = forest(close)
-                a += h[p].tolist()
-                b += h[c].tolist()
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    comps = connected_components(cells.select("i", "j", "m").mapInPandas(verify, "a long, b long"), "paragraph-components")
+    comps = connected_components(jaccard_links(cells, similarity), "paragraph-components")
     near = comps.withColumnRenamed("node", "h").join(each.select("h", "lo", "hi"), "h")
     group = near.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") < F.col("hi"))
     of_near = near.select("h", "component").join(group, "component").select("h", F.col("component").alias("cluster"), F.col("lo").alias("kept_doc"))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from crawlscope.llm import chat, common, embedding_dedup, gif, langid, line_dedup, mixing, pieces, quality, simhash, substring_dedup
 
 DOC = "doc_id long, text string, source string, h string, n_lines int"
@@ -185,6 +186,35 @@ def test_simhash_groups_and_dedup(spark, odd):
     assert simhash.dedup_simhash(odd).count() == 6
 
 
+def brute_shingles(text, words=5):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (text or ""))
+    w = [x for x in re.split("[\x20\x09-\x0d]+", low) if x]
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_pipeline_drops_near_copies(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        w = [f"{rng.integers(1e6)}" for _ in range(int(rng.integers(20, 300)))]
+        rows.append((3 * k, " ".join(w), "s"))
+        for j in (1, 2):  # at Jaccard from below 0.8 to nearly 1
+            v = list(w)
+            for at in rng.choice(len(w), int(rng.integers(1, max(2, len(w) // 30 + 1))), replace=False):
+                v[at] = f"new{k}x{at}x{j}"
+            rows.append((3 * k + j, " ".join(v), "s"))
+    rows += [(900, None, "s"), (901, "", "s"), (902, "Two words", "s"), (903, "two  words", "s"), (904, "two word", "s"), (None, rows[0][1], "s"), (905, "x " * 70_000, "s"), (906, "x " * 60_000, "s")]
+    sets = {i: brute_shingles(t) for i, t, _ in rows if i is not None}
+    near = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = set(components(sets, near).values())
+    df = docs(spark, rows).withColumn("lang", F.lit("en")).withColumn("n_chars", F.char_length("text"))
+    got = corpus_pipeline.simhash_near_dedup(spark, df, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    assert 70 < len(want) < 170  # some pairs are near copies, others not
+    assert corpus_pipeline.simhash_near_dedup(spark, df.limit(0), "").count() == 0
+
+
 # 5
 
 
