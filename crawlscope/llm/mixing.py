@@ -11,6 +11,10 @@ from crawlscope.llm.common import save
 
 #: Up to so many sources the table of rates is broadcast; beyond, the join is salted.
 BROADCAST_SOURCES = 2_000
+#: Up to this rate the distribution function is a table by source; beyond, each row sums its own, around the mean.
+TABLE_RATE = 10_000.0
+#: Copies that a row of many is exploded by at a time; its blocks are dealt to all tasks.
+COPY_BLOCK = 4_096
 
 
 def hash_uniform(seed: str, key: Column) -> Column:
@@ -19,6 +23,24 @@ def hash_uniform(seed: str, key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def large_count(rate: Column, u: Column) -> Column:
+    """The Poisson count of a large rate by inversion at u, over twelve standard deviations to either side of the mean.
+
+    What lies below has less than 1e-30 of the distribution. The first probability is Stirling's series in the
+    difference from the mean, which loses no digits; the others follow by ratios.
+    """
+    low = F.floor(rate - 12 * F.sqrt(rate) - 40)
+    off = low - rate
+    first = off - low * F.log1p(off / rate) - 0.5 * F.ln(2 * math.pi * low) - 1 / (12 * low)
+    start = F.struct(first.alias("l"), F.exp(first).alias("c"), low.alias("k"))
+
+    def step(s, j):
+        log_p = s["l"] + F.ln(rate / (low + j))
+        return F.when(s["c"] < u, F.struct(log_p.alias("l"), (s["c"] + F.exp(log_p)).alias("c"), (low + j).alias("k"))).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), (24 * F.sqrt(rate) + 80).cast("int")), start, step, lambda s: s["k"].cast("int"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
@@ -26,7 +48,7 @@ def mix_sources(
     seed: str = "mix",
     id_col: str = "doc_id",
     source_col: str = "source",
-    max_rate: float = 10_000.0,
+    max_rate: float | None = None,
 ) -> DataFrame:
     """docs replicated so that sources appear in proportion to weights; adds copy_no and n_copies (int), shuffle_key (string).
 
@@ -38,7 +60,8 @@ def mix_sources(
 
     The rows are shuffled globally in one exchange: partitioned and sorted by shuffle_key, an MD5 of seed, id and
     copy, so no source, however hot, meets in one task. Rows that repeat an id get equal counts and keys; a null id
-    is hashed as the text "null". A rate over max_rate is an error, never a cap. An empty table gives an empty one.
+    is hashed as the text "null". Rates have no bound; with max_rate, one over it is an error, never a cap. A rate over
+    TABLE_RATE takes an exchange more, which deals the copies of a row to all tasks. An empty table gives an empty one.
     Columns of docs with the names of the added ones are replaced.
     """
     spark = docs.sparkSession
@@ -58,18 +81,21 @@ def mix_sources(
     sizes = save(sizes, "mix-sizes")  # one small row for each source
     n_sources, n_rows, weight, worst = sizes.agg(F.count(F.lit(1)), F.sum("n"), F.sum("w"), F.max(F.col("w") / F.col("n"))).first()
     scale = epochs * (n_rows or 0) / weight if weight else 0.0
-    if worst and worst * scale > max_rate:
+    if max_rate is not None and worst and worst * scale > max_rate:
         raise ValueError(f"a source would repeat {worst * scale:.0f} times; max_rate is {max_rate:g}")
     rates = sizes.select("mix_source", (F.lit(scale) * F.col("w") / F.col("n")).alias("rate"))
     # The distribution function up to where it can't be told from 1 by 52 bits, summed in logarithms.
-    steps = (F.col("rate") + 12 * F.sqrt(F.col("rate")) + 40).cast("int")
+    steps = F.least(F.col("rate"), F.lit(TABLE_RATE))
+    steps = (steps + 12 * F.sqrt(steps) + 40).cast("int")
     start = F.struct((-F.col("rate")).alias("l"), F.array(F.exp(-F.col("rate"))).alias("c"))
     grow = lambda s, k: F.struct(
         (s["l"] + F.ln(F.col("rate") / k)).alias("l"),
         F.concat(s["c"], F.array(F.element_at(s["c"], -1) + F.exp(s["l"] + F.ln(F.col("rate") / k)))).alias("c"),
     )
     cdf = F.aggregate(F.sequence(F.lit(1), steps), start, grow, lambda s: s["c"])
-    rates = rates.select("mix_source", F.when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(1.0))).alias("cdf"))
+    table = F.when(F.col("rate") > TABLE_RATE, F.lit(None)).when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(1.0)))
+    rates = rates.select("mix_source", "rate", table.alias("cdf"))
+    large = bool(worst) and worst * scale > TABLE_RATE
 
     made = {"copy_no", "n_copies", "shuffle_key"}
     cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
@@ -84,8 +110,22 @@ def mix_sources(
         met = rows.join(spread, F.col("s").eqNullSafe(F.col("mix_source")) & (F.col("own") == F.col("salt")))
     u = hash_uniform(seed, F.col("key"))
     count = F.aggregate("cdf", F.lit(0), lambda k, c: k + F.when(c < F.col("u"), 1).otherwise(0))
-    drawn = met.select("row", "key", "cdf", u.alias("u")).select("row", "key", count.alias("n_copies")).where(F.col("n_copies") > 0)
-    copies = drawn.select("row", "key", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
+    if large:
+        count = F.when(F.col("cdf").isNull(), large_count(F.col("rate"), F.col("u"))).otherwise(count)
+    drawn = met.select("row", "key", "rate", "cdf", u.alias("u")).select("row", "key", count.alias("n_copies")).where(F.col("n_copies") > 0)
+
+    def exploded(rows, first, last):
+        return rows.select("row", "key", "n_copies", F.explode(F.sequence(first, last)).alias("copy_no"))
+
+    n_copies = F.col("n_copies")
+    if large:
+        copies = exploded(drawn.where(n_copies <= COPY_BLOCK), F.lit(1), n_copies)
+        blocks = drawn.where(n_copies > COPY_BLOCK).select("row", "key", "n_copies", F.explode(F.sequence(F.lit(1), n_copies, F.lit(COPY_BLOCK))).alias("first"))
+        blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "first")
+        # The least of the differences, as a sum could pass the largest int.
+        copies = copies.unionByName(exploded(blocks, F.col("first"), F.col("first") + F.least(F.lit(COPY_BLOCK - 1), n_copies - F.col("first"))))
+    else:
+        copies = exploded(drawn, F.lit(1), n_copies)
     out = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), "key", F.col("copy_no").cast("string"))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key").select("row.*", "copy_no", "n_copies", "shuffle_key")

@@ -130,6 +130,23 @@ def test_mixing(spark, odd):
     assert abs(mean - 900) < 1
 
 
+def test_mixing_large_rates(spark):
+    rows = docs(spark, [(i, f"t{i}", {0: None, 1: "rare"}.get(i, "hot")) for i in range(50)])
+    weights = {None: 1.0, "rare": 20.0, "hot": 1.0}
+    out = mixing.mix_sources(rows, weights, epochs=8_800.0)
+    got = {r.doc_id: (r.n_copies, r.n, r.least, r.most, r.different) for r in out.groupBy("doc_id", "n_copies").agg(F.count(F.lit(1)).alias("n"), F.min("copy_no").alias("least"), F.max("copy_no").alias("most"), F.count_distinct("shuffle_key").alias("different")).collect()}
+    want = {}
+    for i in range(50):
+        u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k = mixing.poisson_count(u, 8_800 * 50 / 22 * {0: 1, 1: 20}.get(i, 1 / 48))
+        want[i] = (k, k, 1, k, k)
+    assert got == want and want[0][0] > 19_000 and want[1][0] > 390_000
+    uniforms = [(k + 0.5) / 200 for k in range(200)]
+    counts = spark.createDataFrame([(u,) for u in uniforms], "u double").select("u", mixing.large_count(F.lit(1e9), F.col("u")).alias("k")).collect()
+    sigmas = np.array([(r.k - 1e9) / 1e9**0.5 for r in sorted(counts)])
+    assert abs(sigmas.mean()) < 0.01 and abs(sigmas.std() - 1) < 0.02 and abs(sigmas[0] + 2.807) < 0.01
+
+
 def test_mixing_without_broadcast(spark, monkeypatch):
     rows = docs(spark, [(i, f"t{i}", f"s{i % 7}") for i in range(200)])
     key = lambda r: (r.doc_id, r.copy_no)
