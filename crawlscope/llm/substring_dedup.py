@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope.llm.common import connected_components, in_blocks, jaccard_links, save, small_batches
@@ -35,30 +35,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def read_words(texts: list[str | None]) -> tuple[np.ndarray, list[int], list[int]]:
+    """The hashes of all words, and of each line that has any its first word and its document."""
+    words: list[int] = []
+    first, of = [], []
+    digest = xxhash.xxh3_64_intdigest
+    for d, text in enumerate(texts):
+        for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
+            got = line.split()
+            if got:
+                first.append(len(words))
+                of.append(d)
+                words += map(digest, got)
+    return np.array(words, np.uint64), first, of
+
+
+def both_kinds(texts: list[str | None]) -> list[Paragraphs]:
+    """The paragraphs by lines, and those of the flat texts."""
+    read = read_words(texts)
+    return [Paragraphs(texts, flat, read) for flat in (False, True)]
+
+
 class Paragraphs:
     """The paragraphs of a batch of texts: place (document, number), words, hash, and the hashes of their shingles.
 
     Words are what ASCII white space separates, with A-Z lower-cased. A paragraph ends at a newline, and before a
     word pair that is the least of its neighbourhood within the line: a passage that two documents share inside
     different lines gets the same cuts in both, a few words from its ends. Paragraphs of fewer than SHINGLE words
-    have no shingle and aren't compared.
+    have no shingle and aren't compared. With flat, newlines are plain white space: passages in short lines, or with
+    other line breaks, have paragraphs too. These are numbered -2, -3 and so on. read: what read_words(texts) returns.
     """
 
-    def __init__(self, texts: list[str | None]) -> None:
-        words: list[int] = []
-        first, of = [], []  # of each line: its first word, and its document
-        digest = xxhash.xxh3_64_intdigest
-        for d, text in enumerate(texts):
-            for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
-                got = line.split()
-                if got:
-                    first.append(len(words))
-                    of.append(d)
-                    words += map(digest, got)
+    def __init__(self, texts: list[str | None], flat: bool = False, read: tuple | None = None) -> None:
+        w, first, of = read or read_words(texts)
+        if flat:
+            at = [i for i, d in enumerate(of) if not i or of[i - 1] != d]
+            first, of = [first[i] for i in at], [of[i] for i in at]
         self.n = 0
-        if not words:
+        if not len(w):
             return
-        w = np.array(words, np.uint64)
         line_of = np.zeros(len(w), np.int64)
         line_of[first[1:]] = 1
         line_of = np.cumsum(line_of)
@@ -91,7 +106,11 @@ class Paragraphs:
         self.valid = at + SHINGLE <= size[unit]
         doc = np.array(of)[line_of[start]]
         self.doc, self.start, self.size = doc, start, size
-        self.number = np.arange(len(start)) - np.searchsorted(doc, doc, "left")
+        at_doc = np.searchsorted(doc, doc, "left")
+        self.number = np.arange(len(start)) - at_doc
+        if flat:
+            self.number = -2 - self.number
+        self.at = start - start[at_doc]  # the first word, counted in the document
         self.n = len(start)
         self.keep = size >= SHINGLE
 
@@ -116,8 +135,9 @@ def repeated_paragraphs(
     Paragraphs (see Paragraphs) with equal hashes are one member. Members whose MinHash band keys collide are compared
     by the exact Jaccard similarity of their sets of five-word shingles; those at `similarity` or more are linked, and
     links make clusters by components. Of a cluster that reaches over several documents, the paragraphs in the least
-    doc (kept_doc) stay and all others are rows of the result, if, together with the neighbours before and after
-    that repeat as well, they have min_words words: so shared headings and short lines are left alone.
+    doc (kept_doc) stay and all others are rows of the result, if they lie in a stretch of min_words repeated words:
+    so shared headings and short lines are left alone. Paragraphs of the flat text are compared by their hashes alone; they are
+    rows where they hold words that no paragraph of a line covers.
 
     Keys are found with map-side combine (the least and largest member of a key tell whether there are two), so a
     passage that a third of all documents hold is never gathered; members of a key are compared in blocks. Null and empty texts have no paragraphs. Rows without an id are left
@@ -131,8 +151,10 @@ def repeated_paragraphs(
 
     def keyed(batches):  # kind 0: (hash, document), kind i: (key of band i, hash)
         for x in batches:
-            p, doc = Paragraphs(x["text"].to_list()), x["doc"].to_numpy()
+            (p, flat), doc = both_kinds(x["text"].to_list()), x["doc"].to_numpy()
             if p.n:
+                k = flat.keep
+                yield pd.DataFrame({"kind": np.zeros(int(k.sum()), np.int32), "key": flat.hash[k], "value": doc[flat.doc[k]]})
                 k = p.keep
                 h, m = p.hash[k], int(k.sum())
                 yield pd.DataFrame({"kind": np.zeros(m, np.int32), "key": h, "value": doc[p.doc[k]]})
@@ -177,7 +199,9 @@ def repeated_paragraphs(
     cells = cells.groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "side", "set")).alias("m"))
 
     comps = connected_components(jaccard_links(cells, similarity), "paragraph-components")
-    near = comps.withColumnRenamed("node", "h").join(each.select("h", "lo", "hi"), "h")
+    # Flat paragraphs of the same hash count for a cluster's least and largest document as well.
+    reach = each.select("h", "lo", "hi").unionByName(exact).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = comps.withColumnRenamed("node", "h").join(reach, "h")
     group = near.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") < F.col("hi"))
     of_near = near.select("h", "component").join(group, "component").select("h", F.col("component").alias("cluster"), F.col("lo").alias("kept_doc"))
     alone = exact.join(comps.select(F.col("node").alias("h")), "h", "left_anti").select("h", F.col("h").alias("cluster"), F.col("lo").alias("kept_doc"))
@@ -185,24 +209,45 @@ def repeated_paragraphs(
 
     def placed(batches):
         for x in batches:
-            p, doc = Paragraphs(x["text"].to_list()), x["doc"].to_numpy()
-            if p.n:
-                k = p.keep
-                yield pd.DataFrame({"h": p.hash[k], "doc": doc[p.doc[k]], "paragraph": p.number[k].astype(np.int32), "n_words": p.size[k].astype(np.int32)})
+            doc = x["doc"].to_numpy()
+            for p in both_kinds(x["text"].to_list()):
+                if p.n:
+                    k = p.keep
+                    yield pd.DataFrame({"h": p.hash[k], "doc": doc[p.doc[k]], "paragraph": p.number[k].astype(np.int32), "at": p.at[k].astype(np.int32), "n_words": p.size[k].astype(np.int32)})
 
-    rows = src.mapInPandas(placed, "h long, doc long, paragraph int, n_words int").join(remove, "h").where(F.col("doc") != F.col("kept_doc")).drop("h").distinct()
-    runs = rows.withColumn("run", F.col("paragraph") - F.dense_rank().over(Window.partitionBy("doc").orderBy("paragraph")))
-    total = F.sum("n_words").over(Window.partitionBy("doc", "run"))
-    return runs.withColumn("run_words", total).where(F.col("run_words") >= min_words).select("doc", "paragraph", "n_words", "kept_doc", "cluster")
+    rows = src.mapInPandas(placed, "h long, doc long, paragraph int, at int, n_words int").join(remove, "h").where(F.col("doc") != F.col("kept_doc")).drop("h").distinct()
+    # Rows of an id that repeats may have texts of their own; their places are counted together, as those of one document.
+    lists = rows.groupBy("doc").agg(F.collect_list(F.struct("paragraph", "at", "n_words", "kept_doc", "cluster")).alias("rows"))
+
+    def in_stretches(batches):
+        for x in batches:
+            out = []
+            for doc, found in zip(x["doc"], x["rows"], strict=True):
+                end = max(r["at"] + r["n_words"] for r in found)
+                by_line, any_kind = np.zeros(end, bool), np.zeros(end + 2, bool)
+                for r in found:
+                    any_kind[r["at"] + 1 : r["at"] + r["n_words"] + 1] = True
+                    if r["paragraph"] >= 0:
+                        by_line[r["at"] : r["at"] + r["n_words"]] = True
+                edge = np.flatnonzero(any_kind[1:] != any_kind[:-1])
+                starts, lengths = edge[::2], edge[1::2] - edge[::2]
+                for r in found:
+                    enough = lengths[np.searchsorted(starts, r["at"], "right") - 1] >= min_words
+                    if enough and (r["paragraph"] >= 0 or not by_line[r["at"] : r["at"] + r["n_words"]].all()):
+                        out.append((doc, r["paragraph"], r["n_words"], r["kept_doc"], r["cluster"]))
+            yield pd.DataFrame(out, columns=["doc", "paragraph", "n_words", "kept_doc", "cluster"])
+
+    return lists.mapInPandas(in_stretches, "doc long, paragraph int, n_words int, kept_doc long, cluster long")
 
 
 def without_paragraphs(text: str, gone: set[int]) -> str:
     """The text without the paragraphs of these numbers; a line that loses all its words goes with its newline."""
-    p = Paragraphs([text])
+    p, flat = both_kinds([text])
     out, word = [], 0
     cut = np.zeros(int(p.size.sum()), bool) if p.n else np.zeros(0, bool)
     for i in gone:
-        cut[p.start[i] : p.start[i] + p.size[i]] = True
+        q, k = (p, i) if i >= 0 else (flat, -2 - i)
+        cut[q.start[k] : q.start[k] + q.size[k]] = True
     for line in text.split("\n"):
         at = [m.start() for m in _WORD.finditer(line)]
         mine = cut[word : word + len(at)]

@@ -265,6 +265,21 @@ def test_passages(spark, odd):
     assert substring_dedup.repeated_paragraphs(odd).count() == 0
 
 
+def test_passages_in_short_lines(spark):
+    rng = np.random.default_rng(9)
+    prose = lambda n: [f"{rng.integers(1e6)}" for _ in range(n)]
+    laid = lambda w, sizes: "\n".join(" ".join(w[sum(sizes[:k]) : sum(sizes[: k + 1])]) for k in range(len(sizes)))
+    verse, mixed, broken = prose(120), prose(120), prose(120)
+    rows = [(1, laid(verse, [3] * 40)), (2, laid(prose(9), [3] * 3) + "\n" + laid(verse, [3] * 40)), (3, laid(mixed, [7, 3] * 12)), (4, laid(prose(9), [9]) + "\n" + laid(mixed, [7, 3] * 12)), (5, laid(broken, [8] * 15)), (6, laid(broken, [6, 4] * 12)), (7, laid(prose(30), [3] * 10))]
+    df = docs(spark, [(i, t, "s") for i, t in rows])
+    got = substring_dedup.repeated_paragraphs(df).collect()
+    assert {(r.doc, r.kept_doc) for r in got} == {(2, 1), (4, 3), (6, 5)}
+    left = {r.doc_id: r.text.split() for r in substring_dedup.drop_repeated(df).collect()}
+    for i, passage in ((2, verse), (4, mixed), (6, broken)):
+        assert len(set(left[i]) & set(passage)) <= 40
+    assert all(left[i] == t.split() for i, t in rows if i in (1, 3, 5, 7))
+
+
 def test_paragraph_similarity_is_exact(spark):
     rng = np.random.default_rng(4)
     rows = []
