@@ -1,38 +1,55 @@
-"""What several operators share: tables in the shared folder, Arrow batch size, connected components."""
+"""What several operators share: tables in the shared folder, frames of a few rows in workers, connected components."""
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The ASCII white space of the text contracts, as one string of characters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: By application, the folder that stands in for the cluster's where none is named; and the tables that save() has written.
+_OWN_DIR: dict[str, str] = {}
+_SAVED: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share; only where the cluster names none (as in tests), an own one."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets
+    a temporary one; on a cluster that is an error, as no other machine would see what one of them writes there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='crawlscope-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIR:
+            _OWN_DIR[app] = f"file://{tempfile.mkdtemp(prefix='crawlscope-')}"
+        found = _OWN_DIR[app]
     return found.rstrip("/")
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table is deleted by discard(), at the end of the scratch() that it was written in, or when the driver exits.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    _SAVED.append(out)
     return out
 
 
@@ -41,11 +58,48 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _SAVED[:] = [x for x in _SAVED if x is not df]
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end the tables that save() wrote inside: for callers that have written the result by then."""
+    before = set(map(id, _SAVED))
+    try:
+        yield
+    finally:
+        for df in [x for x in _SAVED if id(x) not in before]:
+            discard(df)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for df in list(_SAVED):
+        with contextlib.suppress(Exception):  # the session may be gone
+            discard(df)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into ones of at most `rows` rows, and of some `size` bytes where single rows allow it.
 
+    Batches reach a worker bounded by the session (64 MB unless set otherwise); what an operator makes of them, often many times
+    larger, is bounded here, so that operators whose plans run together don't share one setting.
+    """
+    for b in batches:
+        step = max(1, min(rows, int(b.num_rows * size / max(b.nbytes, 1))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def map_slices(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 256) -> DataFrame:
+    """df.mapInPandas(work, schema), but the frames have at most `rows` rows; see slices()."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for out in work(part.to_pandas() for part in slices(batches, rows)):
+            yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows that one Arrow batch carries to Python, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(run, schema)
 
 
 def release_memory() -> None:
@@ -64,12 +118,6 @@ def crc32_of_id(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-def replace_columns(df: DataFrame, **made: Column) -> list[Column]:
-    """df's columns without those that the operator makes (its own win where names clash), then the made ones."""
-    low = {k.lower() for k in made}
-    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in low] + [v.alias(k) for k, v in made.items()]
-
-
 def connected_components(edges: DataFrame, tag: str = "components", max_rounds: int = 60) -> DataFrame:
     """(a, b) links to (node, component): the least node that is reachable. Nodes without links don't appear.
 
@@ -100,6 +148,12 @@ def connected_components(edges: DataFrame, tag: str = "components", max_rounds:
     return now.select(b.alias("node"), a.alias("component")).unionByName(now.select(a.alias("node"), a.alias("component")).distinct())
 
 
+def least_by(rows: DataFrame, key: str, value: str, tag: str = "least") -> DataFrame:
+    """(key, least): the least value of each key, from map-side combine. As a written table its true size decides how it
+    is joined, and rows of a key that holds a third of them all are split in that join."""
+    return save(rows.groupBy(key).agg(F.min(value).alias("least")), tag)
+
+
 def in_blocks(members: DataFrame, key: str, member: str, block: int) -> DataFrame:
     """members dealt to cells (key, i, j) so that any two members of a key meet in one cell, and none has many more than
     2 * block members; adds i, j and side (0: of block i, 1: of block j; cells with i = j have side 0 alone).
@@ -162,4 +216,4 @@ def jaccard_links(cells: DataFrame, similarity: float) -> DataFrame:
                 b += h[c].tolist()
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return cells.select("i", "j", "m").mapInPandas(verify, "a long, b long")
+    return map_slices(cells.select("i", "j", "m"), verify, "a long, b long", rows=8)  # a cell has up to two blocks of sets

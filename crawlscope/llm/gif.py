@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import small_batches
+from crawlscope.llm.common import map_slices
 
 FRAME_SCHEMA = "frame int, delay_ms int, x int, y int, width int, height int, disposal int, rgba binary, histogram array<int>"
 
@@ -269,7 +269,6 @@ def decode_gifs(media: DataFrame, id_col: str = "media_id", data_col: str = "dat
     last row with the error. Rows of GIFs that repeat are decoded again; other columns are ignored. One frame's canvas
     is in memory at a time.
     """
-    small_batches(media.sparkSession, 64)
     kind = media.schema[id_col].dataType.simpleString()
     names = ["id", "error", *(x.split()[0] for x in FRAME_SCHEMA.split(", "))]
 
@@ -291,7 +290,7 @@ def decode_gifs(media: DataFrame, id_col: str = "media_id", data_col: str = "dat
                     yield pd.DataFrame([row], columns=names)
 
     cols = media.select(F.col(id_col).cast("string").alias("id"), F.col(data_col).alias("data"))
-    return cols.mapInPandas(run, f"id string, error string, {FRAME_SCHEMA}").withColumn("id", F.col("id").cast(kind))
+    return map_slices(cols, run, f"id string, error string, {FRAME_SCHEMA}", rows=64).withColumn("id", F.col("id").cast(kind))
 
 
 # --- texts as media ----------------------------------------------------------------------------------------------
@@ -327,7 +326,6 @@ def texts_as_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text is stored as an empty one, which is one row of spaces. Rows that repeat give equal rows; other
     columns are ignored.
     """
-    small_batches(docs.sparkSession, 64)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
 
@@ -342,7 +340,7 @@ def texts_as_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     cols = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return cols.mapInPandas(run, schema).withColumn("id", F.col("id").cast(kind))
+    return map_slices(cols, run, schema, rows=64).withColumn("id", F.col("id").cast(kind))
 
 
 def op6_gif_media(spark, sf_dir: str) -> DataFrame:

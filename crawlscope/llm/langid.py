@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import crc32_of_id, small_batches
+from crawlscope.llm.common import crc32_of_id, map_slices
 
 #: Code points of a letter fit in 21 bits, so three of them fit in a 63-bit n-gram key; zero is the gap between words.
 _BITS = 21
@@ -98,8 +98,6 @@ def fit_languages(docs: DataFrame, lang_col: str, text_col: str, dim: int = 1024
     A task sends one vector for each language that it met; they are added by language and place with map-side
     combine. What reaches the driver is languages x dim numbers; more than max_langs languages are an error.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches):
         enc, total = Encoder(dim, seed), {}
         for x in batches:
@@ -113,7 +111,7 @@ def fit_languages(docs: DataFrame, lang_col: str, text_col: str, dim: int = 1024
             yield pd.DataFrame({"lang": lang, "place": np.arange(dim, dtype=np.int32), "v": v})
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sums = rows.mapInPandas(run, "lang string, place int, v double").groupBy("lang", "place").agg(F.sum("v").alias("v"))
+    sums = map_slices(rows, run, "lang string, place int, v double").groupBy("lang", "place").agg(F.sum("v").alias("v"))
     whole = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("v"))
     found = sorted((r["lang"], r["v"]) for r in whole.limit(max_langs + 1).collect())
     if len(found) > max_langs:
@@ -128,7 +126,6 @@ def identify_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray
     was learned are "und" with score 0. Equal cosines take the language first in order. Repeated rows get equal
     answers; other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     dim = prototypes.shape[1]
     norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
     unit = prototypes / np.where(norms > 0, norms, 1)
@@ -151,7 +148,7 @@ def identify_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray
             yield pd.DataFrame({"id": x["id"], "lang_pred": lang, "score": score})
 
     cols = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return cols.mapInPandas(run, "id string, lang_pred string, score double").withColumn("id", F.col("id").cast(kind))
+    return map_slices(cols, run, "id string, lang_pred string, score double").withColumn("id", F.col("id").cast(kind))
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import crc32_of_id, small_batches
+from crawlscope.llm.common import crc32_of_id, map_slices
 
 #: Words in a passage.
 PASSAGE = 48
@@ -138,7 +138,6 @@ def fit_quality(
     max_passages passages. Documents with differing labels, or none, aren't in it. Its ids, at most max_docs, are
     broadcast to find the texts; what reaches the driver is their features.
     """
-    small_batches(docs.sparkSession)
     each = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & train).groupBy(F.col(id_col).alias("id"))
     one = each.agg(F.min(label_col).alias("y"), F.max(label_col).alias("most")).where(F.col("y") == F.col("most"))
     few = one.select("id", "y").orderBy(F.md5(F.col("id").cast("string")), "id").limit(max_docs)
@@ -150,7 +149,7 @@ def fit_quality(
 
     met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
     cols = met.select(F.col("id").cast("string").alias("id"), F.col("y").cast("double").alias("y"), "text")
-    rows = cols.mapInPandas(run, "id string, y double, n int, x binary").where(F.col("n") <= max_passages).groupBy("id").agg(F.min(F.struct("x", "y")).alias("r"))
+    rows = map_slices(cols, run, "id string, y double, n int, x binary").where(F.col("n") <= max_passages).groupBy("id").agg(F.min(F.struct("x", "y")).alias("r"))
     got = sorted((r["id"], r["r"]["y"], bytes(r["r"]["x"])) for r in rows.collect())
     bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, _, b in got]
     return AttentionMIL(seed=seed).fit(bags, np.array([y for _, y, _ in got]))
@@ -163,8 +162,6 @@ def score_quality(docs: DataFrame, model: AttentionMIL, text_col: str = "text",
     classes to learn from gives the share of class 1, or 0.5. Equal texts get equal scores. A column that has the
     score's name is replaced.
     """
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if not len(texts):

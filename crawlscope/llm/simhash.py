@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import connected_components, in_blocks, jaccard_links, save, small_batches
+from crawlscope.llm.common import connected_components, in_blocks, jaccard_links, least_by, map_slices, save
 
 #: Bit b of each byte value, the high bit first: fixed by the layout of a big-endian digest.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -40,8 +40,6 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    small_batches(docs.sparkSession)
-
     def run(batches):
         for x in batches:
             yield pd.DataFrame({"id": x["id"], "row_key": x["row_key"], "fp": [fingerprint(t, words) for t in x["text"]]})
@@ -49,7 +47,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -
     kind = docs.schema[id_col].dataType.simpleString()
     # A null id must not turn a batch of integers into floats on its way through pandas.
     ids = docs.select(F.col(id_col).cast("string").alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return ids.mapInPandas(run, "id string, row_key string, fp long").select(F.col("id").cast(kind).alias("id"), "row_key", "fp")
+    return map_slices(ids, run, "id string, row_key string, fp long").select(F.col("id").cast(kind).alias("id"), "row_key", "fp")
 
 
 def _bits(a: str, b: str):
@@ -107,7 +105,7 @@ def links(fps: DataFrame, max_bits: int = 2, large: int = 256) -> DataFrame:
                             b += f[new].tolist()
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    middle = more.where(F.col("n") <= large).groupBy("cell").agg(F.collect_list("fp").alias("members")).select("members").mapInPandas(forest, "a long, b long")
+    middle = map_slices(more.where(F.col("n") <= large).groupBy("cell").agg(F.collect_list("fp").alias("members")).select("members"), forest, "a long, b long")
 
     crowd = more.where(F.col("n") > large).select("fp").distinct()
     flips = F.array(fp, *[fp.bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])
@@ -132,8 +130,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = save(each.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
     found = connected_components(links(fps, max_bits), "simhash-components")
     group = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = group.groupBy("component").agg(F.min("least").alias("name"))
-    return each.join(group.join(named, "component").select("fp", "name", F.col("component").alias("root")), "fp").select(
+    named = least_by(group, "component", "least", "simhash-names").withColumnRenamed("least", "name")
+    return each.join(group.drop("least").join(named, "component").select("fp", "name", F.col("component").alias("root")), "fp").select(
         "id", "row_key", "fp", F.col("name").alias("component"), "root"
     )
 
@@ -180,9 +178,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all pairs of a group are compared exactly, in blocks; equal sets are one member. Texts without words are one group.
     Rows, ids and nulls are treated as by simhash_groups().
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-
     def sketch(batches):
         for x in batches:
             sets = [shingle_set(t, words) for t in x["text"]]
@@ -191,7 +186,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("string").alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    each = save(texts.mapInPandas(sketch, "id string, row_key string, fp long, member long, keys array<long>").withColumn("id", F.col("id").cast(kind)), "near-docs")
+    each = save(map_slices(texts, sketch, "id string, row_key string, fp long, member long, keys array<long>").withColumn("id", F.col("id").cast(kind)), "near-docs")
 
     keys = each.groupBy("member").agg(F.first("keys").alias("keys")).select("member", F.explode("keys").alias("key"))
     first = save(keys.groupBy("key").agg(F.min("member").alias("a"), F.max("member").alias("b")).where(F.col("a") < F.col("b")), "near-keys")
@@ -210,13 +205,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for x in batches:
             yield pd.DataFrame({"node": x["member"], "set": [shingle_set(t, words).view(np.int64) for t in x["text"]]})
 
-    sets = texts.select("row_key", "text").join(need, "row_key").select("member", "text").mapInPandas(to_sets, "node long, set array<long>")
+    sets = map_slices(texts.select("row_key", "text").join(need, "row_key").select("member", "text"), to_sets, "node long, set array<long>")
     sets = save(sets.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     cells = in_blocks(group, "component", "node", block).join(sets, "node")
     cells = save(cells.groupBy("component", "i", "j").agg(F.collect_list(F.struct(F.col("node").alias("h"), "side", "set")).alias("m")), "near-cells")
-    small_batches(spark, 8)  # a cell has up to some 2 * block sets
     found = connected_components(jaccard_links(cells, similarity), "near-components").withColumnRenamed("node", "member")
-    small_batches(spark)
     return each.join(found, "member", "left").select("id", "row_key", F.coalesce("component", "member").alias("root"))
 
 
