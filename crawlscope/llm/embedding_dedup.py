@@ -1,13 +1,28 @@
-"""Embedding near-dedup: pivot-permutation index, inverted pivot lists, exact cosine."""
+"""Embedding near-dedup: pivot-permutation index, inverted pivot lists, shared-pivot counts, exact cosine."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlscope.llm.common import connected_components, forest, in_blocks, save, small_batches
+from crawlscope.llm.common import connected_components, forest, in_blocks, save, slices
+
+
+def pivot_count(n_vectors: int, least: int = 64, most: int = 32_768) -> int:
+    """Reference points for so many vectors: they grow with the root of the number, and so do the lists; both the search for the nearest
+    ones and the pairs that meet in lists then grow as its power 1.5. `most` bounds what workers are sent."""
+    return min(n_vectors, most, max(least, 4 * math.isqrt(n_vectors)))
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values) of an Arrow column of lists."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
 
 
 def embedding_groups(
@@ -16,86 +31,127 @@ def embedding_groups(
     emb_col: str = "embedding",
     label_col: str = "label",
     min_cos: float = 0.98,
-    n_pivots: int = 256,
+    n_pivots: int | None = None,
     n_near: int = 12,
-    min_shared: int = 2,
-    block: int = 768,
+    min_shared: int = 4,
+    block: int = 2048,
 ) -> DataFrame:
     """(id, n_links, component, kept) for each row: other vectors of the same label at cosine min_cos or more.
 
-    Reference points are n_pivots vectors, a bounded sample by hash. Each vector is described by its n_near nearest
-    ones, and enters their inverted lists; two vectors are candidates if they share min_shared or more, counted by a
-    product of 0/1 matrices inside the list, and are then verified by the cosine in double precision. A pair counts
-    in the list of its first shared pivot alone. Lists longer than `block` are dealt as pairs of blocks, so every
-    pair of a list still meets. All vectors are indexed. Blocks return counts and a spanning forest, never all pairs.
-    Measured against all pairs of the test tables, recall is 1 (2 shared of 12 was the least of any linked pair).
+    Reference points are n_pivots vectors, a bounded sample by hash; their number follows that of the vectors (pivot_count()). Each
+    vector is described by its n_near nearest ones in order, and two are candidates if they share min_shared or more. Of two such sets,
+    the n_near - min_shared + 1 pivots that the fewest vectors are near to always have one in common, so each vector enters
+    the inverted lists of those alone. Lists hold keys and pivots; shared pivots are counted there, in blocks, and only members that
+    have a candidate are met by their vectors and verified by the cosine in double precision, in the list of the
+    first pivot that a pair shares. Lists longer than `block` are dealt as pairs of blocks, so every pair of a list still meets.
+    Blocks return counts and a spanning forest, never all pairs. All vectors are indexed. Recall against all pairs is measured in
+    tests/llm, for cosines from min_cos on.
 
     Equal vectors of a label are one member with a weight. Vectors that are null, empty, zero or hold null or
     non-finite components, or whose label is null, link with nothing. Vectors of different lengths don't compare.
-    Rows that repeat an id are vectors of their own; a null id never names a component, and is not kept.
+    Rows that repeat an id are vectors of their own; a null id never names a component, and is not kept. An empty table gives no rows.
+    Building the result runs jobs.
     """
     emb = F.col(emb_col).cast("array<double>")
     good = F.exists(emb, lambda x: x != 0) & F.forall(emb, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col(label_col).isNotNull()
-    # +0.0 makes negative zeros equal to zeros.
-    text = F.concat_ws("|", F.col(label_col).cast("string"), F.array_join(F.transform(emb, lambda x: (x + F.lit(0.0)).cast("string")), ","))
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(good, F.md5(text)).alias("key"), F.col(label_col).cast("string").alias("label"), emb.alias("emb"))
-    reps = save(
-        rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("emb").alias("emb")),
-        "vectors",
-    )
+    # +0.0 makes negative zeros equal to zeros. Two 64-bit hashes of unlike seeds are the key.
+    plain = F.transform(emb, lambda x: x + F.lit(0.0))
+    label = F.col(label_col).cast("string")
+    key = F.concat(F.hex(F.xxhash64(F.lit(1), label, plain)), F.lit("-"), F.hex(F.xxhash64(F.lit(2), label, plain)))
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(good, key).alias("key"), label.alias("label"), emb.alias("emb"))
+    kind = rows.schema["id"].dataType.simpleString()
+    reps = rows.where(F.col("key").isNotNull()).groupBy("key")
+    reps = save(reps.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("emb").alias("emb")), "vectors")
+    n_pivots = n_pivots or pivot_count(reps.count())
     pivots = [np.array(r["emb"]) for r in reps.select("key", "emb").orderBy("key").limit(n_pivots).collect()]
-    small_batches(vectors.sparkSession, 2048)
 
-    def near(emb: np.ndarray) -> np.ndarray:
+    def nearest(emb: np.ndarray) -> np.ndarray:
         p = np.array([np.pad(x[: emb.shape[1]], (0, max(0, emb.shape[1] - len(x)))) for x in pivots])
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-300)
-        return np.argsort(-(emb @ p.T), axis=1, kind="stable")[:, :n_near]
+        k = min(n_near, len(p))
+        sims = np.round(emb @ p.T, 12)
+        pick = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < len(p) else np.tile(np.arange(k), (len(emb), 1))
+        return np.take_along_axis(pick, np.lexsort((pick, -np.take_along_axis(sims, pick, 1)), axis=1), 1)
 
     def describe(batches):
-        for x in batches:
-            size = x["emb"].map(len)
-            for d in size.unique():
-                part = x[size == d]
-                e = np.stack(part["emb"].to_list()).astype(float)
-                top = np.abs(e).max(axis=1, keepdims=True)  # first scaled, so that no square overflows
-                e = e / top
+        for x in slices(batches, 2048):
+            size, values = _matrix(x.column("emb"))
+            begin = np.cumsum(size) - size
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                e = values[begin[at][:, None] + np.arange(d)].astype(float)
+                e /= np.abs(e).max(axis=1, keepdims=True)  # first scaled, so that no square overflows
                 e /= np.linalg.norm(e, axis=1, keepdims=True)
-                pick = near(e)
-                yield pd.DataFrame({
-                    "key": part["key"].to_numpy().repeat(pick.shape[1]), "n": part["n"].to_numpy().repeat(pick.shape[1]),
-                    "list": [f"{d}:{q}:{label}" for label, q_row in zip(part["label"], pick, strict=True) for q in q_row],
-                    "pivot": pick.ravel(), "near": [np.sort(q) for q in pick for _ in q], "unit": [u for u in e for _ in range(pick.shape[1])],
-                })
-
-    lists = reps.select("key", "n", "label", "emb").mapInPandas(describe, "key string, n long, list string, pivot int, near array<int>, unit array<double>")
+                pick = nearest(e).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, pick.size + 1, pick.shape[1]), pa.int32()), pa.array(pick.ravel()))
+                place = pa.array(at)
+                yield pa.RecordBatch.from_arrays([x.column("key").take(place), x.column("label").take(place), pa.array(np.full(len(at), d, np.int32)), lists], ["key", "label", "size", "near"])
+
+    described = save(reps.select("key", "label", "emb").mapInArrow(describe, "key string, label string, size int, near array<int>"), "vector-pivots")
+    # How many vectors each pivot is near to: as many numbers as pivots.
+    often = dict(described.select(F.explode("near").alias("pivot")).groupBy("pivot").count().collect())
+    rank = np.zeros(max(1, len(pivots)), np.int64)
+    rank[sorted(range(len(pivots)), key=lambda q: (often.get(q, 0), q))] = np.arange(len(pivots))
+
+    def enter(batches):
+        for x in slices(batches, 4096):
+            size, near = _matrix(x.column("near"))
+            k = int(size[0])
+            ranked = np.sort(rank[near.reshape(-1, k)], axis=1).astype(np.int32)  # the rarest pivots first
+            n_lists = max(1, k - min_shared + 1)
+            place = pa.array(np.repeat(np.arange(len(ranked)), n_lists))
+            sets = pa.ListArray.from_arrays(pa.array(np.arange(0, ranked.size + 1, k), pa.int32()), pa.array(ranked.ravel()))
+            yield pa.RecordBatch.from_arrays([*(x.column(c).take(place) for c in ("key", "label", "size")), pa.array(ranked[:, :n_lists].ravel()), sets.take(place)], ["key", "label", "size", "pivot", "near"])
+
+    lists = described.mapInArrow(enter, "key string, label string, size int, pivot int, near array<int>").select("key", F.xxhash64("label", "size", "pivot").alias("list"), "pivot", "near")
     cells = in_blocks(lists, "list", "key", block)
 
-    def verify(x: pd.DataFrame) -> pd.DataFrame:
+    def candidates(x: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        """Which members of a cell, in order of their keys, share enough pivots; a pair counts in the list of the first that it shares."""
         x = x.sort_values("key", ignore_index=True)
-        unit = np.stack(x["unit"].to_list())
-        mark = np.zeros((len(x), len(pivots)), np.float32)
-        for row, q in zip(mark, x["near"], strict=True):
-            row[q] = 1
-        first = mark[:, : x["pivot"].iloc[0]]
-        need = min(min_shared, mark.shape[1])
-        close = (unit @ unit.T >= min_cos) & (mark @ mark.T >= need) & (first @ first.T == 0)
+        near, pivot = np.stack(x["near"].to_list()), int(x["pivot"].iloc[0])
+        names, col = np.unique(near, return_inverse=True)
+        mark = np.zeros((len(x), len(names)), np.float32)
+        mark[np.arange(len(x))[:, None], col.reshape(near.shape)] = 1
+        need = min(min_shared, near.shape[1])
+        close = mark @ mark.T >= need
+        earlier = mark[:, names < pivot]
+        close &= earlier @ earlier.T == 0
         np.fill_diagonal(close, False)
         side = x["side"].to_numpy()
         if x["i"].iloc[0] != x["j"].iloc[0]:
             close &= side[:, None] != side[None, :]
-        links = close @ x["n"].to_numpy()
-        key, other = x["key"].to_numpy(), np.full(len(x), None, object)
+        return close, x
+
+    def count(x: pd.DataFrame) -> pd.DataFrame:
+        close, x = candidates(x)
+        return x[close.any(axis=1)]
+
+    few = cells.groupBy("list", "i", "j").applyInPandas(count, cells.schema)
+    facts = reps.select("key", "n", F.col("least").cast("string").alias("least"), "emb")
+    met = save(few.join(facts, "key"), "vector-candidates")
+
+    def verify(x: pd.DataFrame) -> pd.DataFrame:
+        close, x = candidates(x)
+        e = np.stack(x["emb"].to_list()).astype(float)
+        e /= np.abs(e).max(axis=1, keepdims=True)
+        e /= np.linalg.norm(e, axis=1, keepdims=True)
+        close &= e @ e.T >= min_cos
+        links, key, least = close @ x["n"].to_numpy(), x["key"].to_numpy(), x["least"].to_numpy()
+        other, name = np.full(len(x), None, object), np.full(len(x), None, object)
         for p, c in zip(*forest(close), strict=True):
-            other[c] = key[p]
+            other[c], name[c] = key[p], least[p]
         hit = links > 0
-        return pd.DataFrame({"key": key[hit], "links": links[hit], "other": other[hit]})
+        return pd.DataFrame({"key": key[hit], "least": least[hit], "links": links[hit], "other": other[hit], "other_least": name[hit]})
 
-    found = save(cells.groupBy("list", "i", "j").applyInPandas(verify, "key string, links long, other string"), "vector-links")
+    found = save(met.groupBy("list", "i", "j").applyInPandas(verify, "key string, least string, links long, other string, other_least string"), "vector-links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    comps = connected_components(found.where(F.col("other").isNotNull()).select(F.col("key").alias("a"), F.col("other").alias("b")), "vector-components")
-    each = reps.select("key", "n", "least").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = each.groupBy("component").agg(F.min("least").alias("name"))
-    facts = each.join(names, "component").join(links, "key", "left").select("key", "n", "name", F.coalesce("links", F.lit(0)).alias("links"))
+    # A vector's name begins with its least id, so the least name of a component has the least id; null ids come last.
+    name = lambda i, k: F.struct(F.col(i).isNull().alias("z"), F.col(i).cast(kind).alias("id"), F.col(k).alias("key"))
+    comps = connected_components(found.where(F.col("other").isNotNull()).select(name("least", "key").alias("a"), name("other_least", "other").alias("b")), "vector-components")
+    comps = comps.select(F.col("node.key").alias("key"), F.col("component.id").alias("name"))
+    facts = reps.select("key", "n", "least").join(comps, "key", "left").join(links, "key", "left")
+    facts = facts.select("key", "n", F.coalesce("name", "least").alias("name"), F.coalesce("links", F.lit(0)).alias("links"))
     out = rows.select("id", "key").join(facts, "key", "left")
     comp = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("name"))
     return out.select(
