@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -87,24 +88,49 @@ def test_lines_odd(spark, odd):
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(40, 16))
-    rows, vecs = [], {}
+    rows = []
     for i in range(400):
         v = base[i % 40] + rng.normal(size=16) * (0.05 if i % 3 else 0.12)
         rows.append((i, v.astype(np.float32).tolist(), i % 2 if i % 50 else None))
     rows += [(400 + k, rows[1][1], 1) for k in range(5)] + [(410, None, 1), (411, [0.0] * 16, 1), (412, [float("nan")] * 16, 1), (413, [None] * 16, 1), (414, [], 1), (415, [1.0, 2.0], 1), (416, [2.0, 4.0], 1), (417, [float("inf")] * 16, 1)]
-    for i, v, y in rows:
-        if y is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            vecs[i] = (y, np.array(v, float))
-    links = [(a, b) for a, b in combinations(sorted(vecs), 2) if vecs[a][0] == vecs[b][0] and len(vecs[a][1]) == len(vecs[b][1]) and vecs[a][1] @ vecs[b][1] / np.linalg.norm(vecs[a][1]) / np.linalg.norm(vecs[b][1]) >= 0.98]
-    n = Counter(x for e in links for x in e)
-    comp = components([r[0] for r in rows], links)
+    rows += [(None, rows[3][1], rows[3][2]), (None, [1.0, 2.0], 1), (None, None, 1), (7, rows[7][1], rows[7][2]), (7, rows[8][1], rows[8][2]), (None, [5.0, 5.0, 5.0], 3), (None, [5.0, 5.0, 5.1], 3)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, list string")
-    got = {r.id: (r.n_links, r.component, r.kept) for r in embedding_dedup.embedding_groups(df, block=16, n_pivots=32).collect()}
-    assert got == {i: (n[i], comp[i], comp[i] == i) for i, _, _ in rows}
-    assert len(links) > 100
+    got = embedding_dedup.embedding_groups(df, block=16, n_pivots=32, min_shared=2).collect()
+    both = components(range(len(rows)), [(a, b) for a, b in combinations(range(len(rows)), 2) if linked(rows[a], rows[b])])
+    name = defaultdict(list)
+    for k, g in both.items():
+        name[g] += [rows[k][0]] if rows[k][0] is not None else []
+    want = sorted((str(i), sum(linked(rows[k], r) for j, r in enumerate(rows) if j != k), str(min(name[both[k]], default=None))) for k, (i, _, _) in enumerate(rows))
+    assert sorted((str(r.id), r.n_links, str(r.component)) for r in got) == want
+    assert all(r.kept == (r.id is not None and r.id == r.component) for r in got)
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def linked(a, b):
+    ok = lambda r: r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
+    if not (ok(a) and ok(b) and a[2] == b[2] and len(a[1]) == len(b[1])):
+        return False
+    x, y = np.array(a[1], np.float32).astype(float), np.array(b[1], np.float32).astype(float)
+    return x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98
+
+
+@pytest.mark.parametrize("n, dim", [(3_000, 64), (12_000, 32)])
+def test_embedding_recall_and_work(spark, n, dim):
+    """Against all pairs at two sizes: vectors with a near one at cosines from 0.98 on, the hardest to find."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, dim)) + rng.normal(size=(5, dim))[rng.integers(0, 5, n)] * 0.7
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=(n // 10, dim))
+    off -= (off * base[: n // 10]).sum(1, keepdims=True) * base[: n // 10]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = rng.uniform(0.9801, 0.999, (n // 10, 1))
+    x = np.concatenate([base, cos * base[: n // 10] + np.sqrt(1 - cos**2) * off])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 1}), "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.embedding_groups(df).agg(F.sum("n_links")).first()[0]
+    want = sum(int(((x[i : i + 2000] @ x.T) >= 0.98).sum()) - len(x[i : i + 2000]) for i in range(0, len(x), 2000))
+    assert want >= n // 5 and 0.99 * want <= got <= want
+
+
 # 3
 
 
@@ -235,69 +261,102 @@ def test_pipeline_drops_near_copies(spark):
 # 5
 
 
+def prose(rng, n):
+    return [f"{rng.integers(1e6)}" for _ in range(n)]
+
+
+def laid(words, sizes):
+    return "\n".join(" ".join(words[sum(sizes[:k]) : sum(sizes[: k + 1])]) for k in range(len(sizes)))
+
+
 def test_bands():
-    assert substring_dedup.tune_bands(0.8) == (3, 1)
-    b, r = substring_dedup.tune_bands(0.9, 0.999)
-    assert 1 - (1 - 0.9**r) ** b >= 0.999
+    assert substring_dedup.tune_bands(0.8) == (9, 4)
+    for similarity, recall in ((0.8, 0.99), (0.9, 0.999), (0.7, 0.95)):
+        b, r = substring_dedup.tune_bands(similarity, recall)
+        assert 1 - (1 - similarity**r) ** b >= recall and np.mean([1 - (1 - s**r) ** b for s in np.linspace(0, 0.3, 100)]) <= 0.02
+
+
+def test_words_are_those_of_a_plain_split():
+    texts = ["Aa\x0bB  c\nÉ d", None, "", "\n \n", "a b", "x" * 5000 + " y", "aA\tbb", "x" * 4999 + "y y"]
+    w, first, of = substring_dedup.read_words(texts)
+    want = [(d, line) for d, t in enumerate(texts) for line in [[x for x in re.split("[\x20\x09-\x0d]+", part.replace("A", "a").replace("B", "b")) if x] for part in (t or "").split("\n")] if line]
+    assert of.tolist() == [d for d, _ in want] and np.diff(np.append(first, len(w))).tolist() == [len(x) for _, x in want]
+    names = [x for _, line in want for x in line]
+    assert len(w) == len(names) and len(set(zip(w.tolist(), names, strict=True))) == len(set(names)) == len(set(w.tolist()))
 
 
 def test_passages(spark, odd):
     rng = np.random.default_rng(3)
-    prose = lambda n: " ".join(f"{rng.integers(1e6)}" for _ in range(n))
-    rows, planted = [(i, f"{prose(80)}\n{prose(40)}", "s") for i in range(60)], set()
+    text = lambda n: " ".join(prose(rng, n))
+    rows, planted = [(i, f"{text(80)}\n{text(40)}", "s") for i in range(60)], {}
     for k in range(20):  # in the middle of a line, at another place in each document
-        passage = prose(55)
+        passage = prose(rng, 55)
         for i in (2 * k, 2 * k + 1):
             a = rows[i][1].split()
             cut = int(rng.integers(5, 60))
-            rows[i] = (i, " ".join(a[:cut]) + " " + passage + " " + " ".join(a[cut:]), "s")
-        planted.add((2 * k + 1, 2 * k))
-    whole = prose(70)
-    near = whole.split()
-    near[30] = "changed"
-    rows += [(100, whole, "s"), (101, " ".join(near), "s"), (102, whole.upper(), "s"), (103, "A short heading line here\n" + prose(50), "s"), (104, "A short heading line here\n" + prose(50), "s"), (None, whole, "s"), (105, None, "s"), (106, "", "s")]
-    got = substring_dedup.repeated_paragraphs(docs(spark, rows)).collect()
-    found = {(r.doc, r.kept_doc) for r in got}
-    assert len(planted & found) >= 19
-    assert {(101, 100), (102, 100)} <= found
-    assert {d for d, _ in found} <= {d for d, _ in planted} | {101, 102}
-    assert substring_dedup.repeated_paragraphs(odd.limit(0)).count() == 0
-    assert substring_dedup.repeated_paragraphs(odd).count() == 0
+            rows[i] = (i, " ".join(a[:cut]) + " " + " ".join(passage) + " " + " ".join(a[cut:]), "s")
+            planted[2 * k + 1, 2 * k] = cut
+    heading = "A short heading line here\n"
+    rows += [(103, heading + text(50), "s"), (104, heading + text(50), "s"), (None, rows[0][1], "s"), (105, None, "s"), (106, "", "s"), (107, "of " * 300, "s"), (108, "unlike " + "of " * 300, "s")]
+    got = {(r.doc, r.kept_doc): r for r in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
+    assert set(got) <= set(planted) | {(108, 107)} and len(got) >= 20 and (108, 107) in got
+    for pair, cut in planted.items():
+        if pair in got:
+            r = got[pair]
+            # A part of a line may begin or end a few words farther out, at Jaccard 0.8.
+            assert cut - 12 <= r.at <= cut + 10 and cut + 45 <= r.at + r.n_words <= cut + 67 and r.n_words >= 45
+    assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
+    assert substring_dedup.repeated_passages(odd).count() == 0
 
 
 def test_passages_in_short_lines(spark):
     rng = np.random.default_rng(9)
-    prose = lambda n: [f"{rng.integers(1e6)}" for _ in range(n)]
-    laid = lambda w, sizes: "\n".join(" ".join(w[sum(sizes[:k]) : sum(sizes[: k + 1])]) for k in range(len(sizes)))
-    verse, mixed, broken = prose(120), prose(120), prose(120)
-    rows = [(1, laid(verse, [3] * 40)), (2, laid(prose(9), [3] * 3) + "\n" + laid(verse, [3] * 40)), (3, laid(mixed, [7, 3] * 12)), (4, laid(prose(9), [9]) + "\n" + laid(mixed, [7, 3] * 12)), (5, laid(broken, [8] * 15)), (6, laid(broken, [6, 4] * 12)), (7, laid(prose(30), [3] * 10))]
+    verse, mixed, broken = prose(rng, 120), prose(rng, 120), prose(rng, 120)
+    rows = [(1, laid(verse, [3] * 40)), (2, laid(prose(rng, 9), [3] * 3) + "\n" + laid(verse, [3] * 40)), (3, laid(mixed, [7, 3] * 12)), (4, laid(prose(rng, 9), [9]) + "\n" + laid(mixed, [7, 3] * 12)), (5, laid(broken, [8] * 15)), (6, laid(broken, [6, 4] * 12)), (7, laid(prose(rng, 30), [3] * 10))]
     df = docs(spark, [(i, t, "s") for i, t in rows])
-    got = substring_dedup.repeated_paragraphs(df).collect()
-    assert {(r.doc, r.kept_doc) for r in got} == {(2, 1), (4, 3), (6, 5)}
+    assert {(r.doc, r.kept_doc) for r in substring_dedup.repeated_passages(df).collect()} == {(2, 1), (4, 3), (6, 5)}
     left = {r.doc_id: r.text.split() for r in substring_dedup.drop_repeated(df).collect()}
     for i, passage in ((2, verse), (4, mixed), (6, broken)):
-        assert len(set(left[i]) & set(passage)) <= 40
+        assert len(set(left[i]) & set(passage)) <= 8
     assert all(left[i] == t.split() for i, t in rows if i in (1, 3, 5, 7))
 
 
-def test_paragraph_similarity_is_exact(spark):
+def test_lines_at_jaccard_by_all_pairs(spark):
+    """All pairs of lines, by sets of word tuples: clusters by components, kept in the least document, long lines alone reported."""
     rng = np.random.default_rng(4)
-    rows = []
-    for k in range(30):
-        words = [f"{rng.integers(1e6)}" for _ in range(40)]
-        rows.append((2 * k, " ".join(words), "s"))
-        words[int(rng.integers(40))] = "other"
-        rows.append((2 * k + 1, " ".join(words), "s"))
-    p = substring_dedup.Paragraphs([t for _, t, _ in rows])
-    sets = [set(p.shingle[s : s + n - 4].tolist()) if n >= 5 else set() for s, n in zip(p.start, p.size, strict=True)]
-    pairs = [(i, j) for i in range(p.n) for j in range(i + 1, p.n) if p.hash[i] != p.hash[j] and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    keys = p.keys(3, 1)
-    hit = sum((keys[:, i] == keys[:, j]).any() for i, j in pairs)
-    assert hit >= 0.9 * len(pairs)
-    got = {(r.doc, r.paragraph) for r in substring_dedup.repeated_paragraphs(docs(spark, rows), min_words=1).collect()}
-    for i, j in pairs:
-        if (keys[:, i] == keys[:, j]).any():
-            assert (int(p.doc[j]), int(p.number[j])) in got
+    lines, texts = [prose(rng, int(rng.integers(5, 120))) for _ in range(40)], []
+    for d in range(80):
+        out = []
+        for k in rng.choice(len(lines), 3, replace=False):
+            w = list(lines[k])
+            for at in rng.choice(len(w), int(rng.integers(0, 1 + len(w) // 25)), replace=False):
+                w[at] = f"new{rng.integers(1e6)}"
+            out.append(" ".join(w))
+        texts.append("\n".join(out))
+    grams = lambda w: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    own = [(d, at, len(w), grams(w)) for d, t in enumerate(texts) for at, w in zip(np.cumsum([0, *[len(x.split()) for x in t.split("\n")]]).tolist(), [x.split() for x in t.split("\n")], strict=False)]
+    pairs = [(i, j) for i, j in combinations(range(len(own)), 2) if len(own[i][3] & own[j][3]) >= 0.8 * len(own[i][3] | own[j][3]) > 0]
+    group = components(range(len(own)), pairs)
+    kept = defaultdict(lambda: 10**9)
+    for i, g in group.items():
+        kept[g] = min(kept[g], own[i][0])
+    want = {(own[i][0], own[i][1], own[i][2], kept[g]) for i, g in group.items() if own[i][0] != kept[g]}
+    got = substring_dedup.repeated_passages(docs(spark, [(d, t, "s") for d, t in enumerate(texts)]), min_words=5).collect()
+    covered = {(r.doc, k) for r in got for k in range(r.at, r.at + r.n_words)}
+    missed = [x for x in want if any((x[0], k) not in covered for k in range(x[1], x[1] + x[2]))]
+    assert len(want) > 80 and len(missed) <= 0.02 * len(want)
+    assert {(d, k) for d, _, _, k in want if not any(x[0] == d and x[3] == k for x in missed)} <= {(r.doc, r.kept_doc) for r in got}
+
+
+def test_repeated_and_string_ids(spark):
+    rng = np.random.default_rng(12)
+    passage, a, b = " ".join(prose(rng, 60)), " ".join(prose(rng, 30)), " ".join(prose(rng, 9))
+    rows = [("a", passage), ("b", f"{a}\n{passage}"), ("b", f"{passage}\n{b}"), ("b", b), ("b", b), ("c", None)]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id string, text string, n_removed int")
+    out = substring_dedup.drop_repeated(df)
+    assert out.columns == ["doc_id", "text", "n_removed"]
+    assert sorted((r.doc_id, str(r.text), r.n_removed) for r in out.collect()) == sorted([("a", passage, 0), ("b", a, 1), ("b", b, 1), ("b", b, 0), ("b", b, 0), ("c", "None", 0)])
+    assert {(r.doc, r.kept_doc) for r in substring_dedup.repeated_passages(df).collect()} == {("b", "a")}
 
 
 # 6
@@ -492,10 +551,10 @@ def test_language(spark, odd):
 
 
 def test_removal_leaves_the_rest(spark):
-    assert substring_dedup.without_paragraphs("a b c", set()) == "a b c"
+    assert substring_dedup.without_words("a b c", []) == "a b c"
+    assert substring_dedup.without_words("a b\nc d\n\ne  f", [(1, 3)]) == "a\n\ne  f"
     rng = np.random.default_rng(8)
-    prose = lambda n: " ".join(f"{rng.integers(1e6)}" for _ in range(n))
-    shared, own = prose(60), prose(50)
+    shared, own = " ".join(prose(rng, 60)), " ".join(prose(rng, 50))
     rows = [(1, shared, "s"), (2, f"{own}\n{shared}\n\n tail  of it", "s"), (3, None, "s")]
     out = {r.doc_id: r for r in substring_dedup.drop_repeated(docs(spark, rows)).collect()}
     assert out[1].text == shared and out[1].n_removed == 0 and out[3].text is None
