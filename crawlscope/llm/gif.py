@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from crawlscope.llm.common import map_slices
 
+#: The largest canvas, and the largest frame, that is decoded, in pixels; a file that names a larger one gives an error.
+MAX_PIXELS = 1 << 24
 FRAME_SCHEMA = "frame int, delay_ms int, x int, y int, width int, height int, disposal int, rgba binary, histogram array<int>"
 
 
@@ -105,7 +107,7 @@ def lzw_decode(stream: bytes, size: int, n_pixels: int) -> np.ndarray:
                     stop = end  # cut short
                 else:  # a full table keeps 12-bit codes until the encoder clears it, however late
                     at, w = int(ends[-1]), np.full(4096, 12)
-        values = _expand(np.concatenate(pieces), clear)
+        values = _expand(np.concatenate(pieces), clear, n_pixels - have)
         out.append(values)
         have += len(values)
         if stop == end:
@@ -114,7 +116,8 @@ def lzw_decode(stream: bytes, size: int, n_pixels: int) -> np.ndarray:
     return found[:n_pixels]
 
 
-def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
+def _expand(codes: np.ndarray, clear: int, most: int) -> np.ndarray:
+    """The values of a segment's codes, as far as the code that reaches `most` of them: a small stream can stand for any number."""
     n = len(codes)
     if not n:
         return np.zeros(0, np.uint8)
@@ -126,6 +129,8 @@ def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
     while (back != back[back]).any():  # steps back to a literal, by doubling
         length, back = length + length[back], back[back]
     length += 1
+    n = min(n, int(np.searchsorted(np.cumsum(length), most)) + 1)
+    codes, source, length = codes[:n], source[:n], length[:n]
     start = np.cumsum(length) - length
     place = np.arange(int(length.sum()))
     origin = np.where(codes > clear, start[source] - start, 0)
@@ -222,6 +227,8 @@ def read_frames(data: bytes) -> Iterator[Frame]:
                 raise GifError("an image without a palette")
             size = data[at] if at < len(data) else 0
             at += 1
+            if fw * fh > MAX_PIXELS:
+                raise GifError(f"an image of {fw} x {fh} pixels")
             values = lzw_decode(body(), size, fw * fh)
             if len(values) < fw * fh:
                 raise GifError(f"{len(values)} of {fw * fh} pixels")
@@ -240,10 +247,12 @@ def composed(data: bytes) -> Iterator[tuple[Frame, np.ndarray]]:
     canvas = None
     for f in read_frames(data):
         if canvas is None:
+            if f.screen[0] * f.screen[1] > MAX_PIXELS:
+                raise GifError(f"a canvas of {f.screen[0]} x {f.screen[1]} pixels")
             canvas = np.zeros((f.screen[1], f.screen[0], 4), np.uint8)
-        rows, cols = slice(f.y, min(f.y + f.indices.shape[0], f.screen[1])), slice(f.x, min(f.x + f.indices.shape[1], f.screen[0]))
+        rows, cols = slice(f.y, max(f.y, min(f.y + f.indices.shape[0], f.screen[1]))), slice(f.x, max(f.x, min(f.x + f.indices.shape[1], f.screen[0])))
         before = canvas.copy() if f.disposal == 3 else None
-        part = f.indices[: max(0, rows.stop - rows.start), : max(0, cols.stop - cols.start)]
+        part = f.indices[: rows.stop - rows.start, : cols.stop - cols.start]
         colours = np.full((256, 4), 255, np.uint8)
         colours[: len(f.palette), :3] = f.palette
         shown = part != f.transparent if f.transparent is not None else np.ones(part.shape, bool)
@@ -257,17 +266,18 @@ def composed(data: bytes) -> Iterator[tuple[Frame, np.ndarray]]:
 
 def histogram(rgba: np.ndarray) -> list[int]:
     """Counts of the visible pixels by the two high bits of red, green and blue: 64 numbers."""
-    seen = rgba.reshape(-1, 4)
-    seen = seen[seen[:, 3] > 0] >> 6
-    return np.bincount(seen[:, 0].astype(np.int64) << 4 | seen[:, 1].astype(np.int64) << 2 | seen[:, 2], minlength=64).tolist()
+    red, green, blue, alpha = (rgba.reshape(-1, 4)[:, k] for k in range(4))
+    # Bins of what is seen; all that isn't is counted apart.
+    bins = np.where(alpha > 0, red >> 6 << 4 | green >> 6 << 2 | blue >> 6, 64)
+    return np.bincount(bins, minlength=65)[:64].tolist()
 
 
 def decode_gifs(media: DataFrame, id_col: str = "media_id", data_col: str = "data") -> DataFrame:
     """One row for each frame of each GIF: (id, error, *FRAME_SCHEMA): timed, composed RGBA pixels and their colour histogram.
 
     Null or empty data gives one row with the error "no data"; a broken file gives the frames before the break and a
-    last row with the error. Rows of GIFs that repeat are decoded again; other columns are ignored. One frame's canvas
-    is in memory at a time.
+    last row with the error, and so does one whose canvas or frame has over MAX_PIXELS. Rows of GIFs that repeat are decoded again; other
+    columns are ignored. One frame's canvas is in memory at a time.
     """
     kind = media.schema[id_col].dataType.simpleString()
     names = ["id", "error", *(x.split()[0] for x in FRAME_SCHEMA.split(", "))]
@@ -309,15 +319,16 @@ def text_to_gif(text: str | None, width: int = 192) -> tuple[bytes, int]:
 
 
 def gif_payload(media: bytes) -> tuple[bytes, str]:
-    """(payload, feature) from the stored bytes: the indices of all frames, and frames, time and a 64-bin grey histogram's digest."""
-    frames, time, counts, parts = 0, 0, np.zeros(64, np.int64), []
-    for f in read_frames(media):
-        frames, time = frames + 1, time + f.delay_ms
-        grey = np.bincount(f.indices.ravel(), minlength=256).reshape(64, 4).sum(1)
-        counts += grey
-        parts.append(f.indices.tobytes())
+    """(payload, feature) from the stored bytes: the grey pixels of each frame as a viewer shows them, and a description of the timed
+    frames: their number and time, the colour bins of most pixels, and a digest of each frame's delay and colour histogram."""
+    frames, time, counts, parts, digest = 0, 0, np.zeros(64, np.int64), [], hashlib.md5()
+    for f, canvas in composed(media):
+        frames, time, hist = frames + 1, time + f.delay_ms, np.array(histogram(canvas))
+        counts += hist
+        digest.update(struct.pack("<I64q", f.delay_ms, *hist))
+        parts.append(canvas[f.y : f.y + f.indices.shape[0], f.x : f.x + f.indices.shape[1], 0].tobytes())
     top = np.argsort(-counts, kind="stable")[:4]
-    return b"".join(parts), f"frames={frames};ms={time};top={','.join(map(str, top))};hist={hashlib.md5(counts.tobytes()).hexdigest()[:16]}"
+    return b"".join(parts), f"frames={frames};ms={time};top={','.join(map(str, top))};hist={digest.hexdigest()[:16]}"
 
 
 def texts_as_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
