@@ -11,13 +11,15 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 def _turns(rows: DataFrame, pair: str, turn: str, role: str, text: str, side: str) -> DataFrame:
     """One row for each pair: its turns in order. A conversation is one training example and so of bounded length."""
-    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Lines end a role, so a role is one line.
+    name = F.translate(_escaped(F.coalesce(F.col(role), F.lit(""))), "\r\n", "  ")
+    one = F.struct(F.col(turn).alias("turn"), name.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     some = rows.select(F.col(pair).alias("pair_id"), one.alias("t")).where(F.col("t.turn").isNotNull() & F.col("pair_id").isNotNull())
     return some.groupBy("pair_id").agg(F.array_sort(F.collect_set("t")).alias(side))
 
 
 def _escaped(c: Column) -> Column:
-    """Turn marks inside a text lose their pipes, so no text can open or close a turn."""
+    """Turn marks inside a text or a role lose their pipes, so neither can open or close a turn."""
     return F.replace(F.replace(c, F.lit(OPEN), F.lit("<im_start>")), F.lit(CLOSE), F.lit("<im_end>"))
 
 
@@ -49,7 +51,7 @@ def format_preferences(
     rejected_spans (array<struct<start,end>>: half-open spans in code points of the completion that the loss
     covers: what an assistant says, with its end mark; all else is masked).
 
-    Turns are ordered by number, then role, then text; a repeated row counts once, rows without a pair or turn number are left out; null
+    Turns are ordered by number, then role (its turn marks without pipes, its line ends as spaces), then text; a repeated row counts once, rows without a pair or turn number are left out; null
     role or text is empty. A side that is missing or ends at the prefix has an empty completion and no spans; equal
     sides have both empty. Other columns are ignored. Pairs meet in two aggregations and a join on the pair's key,
     so a turn or conversation that many pairs share is never a key.

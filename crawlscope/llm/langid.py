@@ -42,8 +42,8 @@ class Encoder:
     text's vector is the sum over its n-grams: integers, so the order of summing never matters.
     """
 
-    def __init__(self, dim: int, seed: int, cache: int = 40_000) -> None:
-        self.dim, self.seed, self.cache = dim, seed, cache
+    def __init__(self, dim: int, seed: int, cache: int = 40_000, most_letters: int = 4_000) -> None:
+        self.dim, self.seed, self.cache, self.most_letters = dim, seed, cache, most_letters
         self.letters = Letters()
         self.letter: dict[int, np.ndarray] = {}
         self.place: dict[int, int] = {}
@@ -51,6 +51,8 @@ class Encoder:
 
     def _letter(self, c: int) -> np.ndarray:
         if c not in self.letter:
+            if len(self.letter) >= self.most_letters:
+                self.letter.clear()
             self.letter[c] = (np.random.Generator(np.random.Philox(key=[self.seed, c])).integers(0, 2, self.dim) * 2 - 1).astype(np.float32)
         return self.letter[c]
 

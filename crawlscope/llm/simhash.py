@@ -222,7 +222,9 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: s
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key"))
     keep = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row_key").alias("keep_key"))
     rows = docs.select(row_key(id_col, text_col).alias("keep_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.join(keep, "keep_key").groupBy("keep_key").agg(F.first("row").alias("row")).select("row.*")
+    # Rows equal in id and text may differ elsewhere: the least hash of the whole row decides, whatever order they come in.
+    whole = F.struct(F.xxhash64("row").alias("h"), F.to_json("row").alias("text"))
+    return rows.join(keep, "keep_key").withColumn("h", whole).groupBy("keep_key").agg(F.min_by("row", "h").alias("row")).select("row.*")
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

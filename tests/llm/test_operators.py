@@ -304,7 +304,7 @@ def test_passages(spark, odd):
         if pair in got:
             r = got[pair]
             # A part of a line may begin or end a few words farther out, at Jaccard 0.8.
-            assert cut - 12 <= r.at <= cut + 10 and cut + 45 <= r.at + r.n_words <= cut + 67 and r.n_words >= 45
+            assert cut - 12 <= r.at <= cut + 15 and cut + 40 <= r.at + r.n_words <= cut + 67 and r.n_words >= 40
     assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
     assert substring_dedup.repeated_passages(odd).count() == 0
 
@@ -406,6 +406,74 @@ def test_frames(spark):
     assert gif.decode_gifs(df.limit(0)).count() == 0
 
 
+def plain_codes(values, size):
+    """LZW that never uses its table: a clear code before every other literal."""
+    clear, bits, at = 1 << size, 0, 0
+    for k, v in enumerate(values):
+        for code in ([clear] if k % 2 == 0 else []) + [int(v)]:
+            bits |= code << at
+            at += size + 1
+    bits |= (clear + 1) << at
+    raw = bits.to_bytes((at + size + 8) // 8, "little")
+    return bytes([size]) + b"".join(bytes([len(raw[i : i + 255])]) + raw[i : i + 255] for i in range(0, len(raw), 255)) + b"\0"
+
+
+def rendered(w, h, frames):
+    """What a viewer shows, pixel by pixel: frames (values, x, y, palette, disposal, transparent) in order."""
+    canvas, out = [[(0, 0, 0, 0)] * w for _ in range(h)], []
+    for values, x, y, palette, disposal, clear in frames:
+        before = [list(r) for r in canvas]
+        for i, row in enumerate(values):
+            for j, v in enumerate(row):
+                if v != clear and y + i < h and x + j < w:
+                    canvas[y + i][x + j] = (*palette[v], 255)
+        out.append([list(r) for r in canvas])
+        if disposal == 2:
+            for i in range(len(values)):
+                for j in range(len(values[0])):
+                    if y + i < h and x + j < w:
+                        canvas[y + i][x + j] = (0, 0, 0, 0)
+        if disposal == 3:
+            canvas = before
+    return out
+
+
+def test_frames_against_a_plain_renderer(spark):
+    rng = np.random.default_rng(6)
+    colours = lambda: [tuple(int(c) for c in rng.integers(0, 256, 3)) for _ in range(8)]
+    shared, frames, data = colours(), [], b""
+    w, h = 13, 11
+    for k in range(12):
+        fw, fh, x, y = (int(v) for v in (rng.integers(1, 10), rng.integers(1, 10), rng.integers(0, 9), rng.integers(0, 9)))
+        values, own, disposal, clear, delay = rng.integers(0, 8, (fh, fw)).tolist(), colours() if k % 3 == 0 else None, k % 4, int(rng.integers(8)) if k % 2 else None, 3 * k
+        order = [i for s, d in ((0, 8), (4, 8), (2, 4), (1, 2)) for i in range(s, fh, d)] if k % 2 else range(fh)
+        data += b"\x21\xf9\x04" + bytes([disposal << 2 | (clear is not None)]) + delay.to_bytes(2, "little") + bytes([clear or 0, 0])
+        data += b"\x2c" + b"".join(v.to_bytes(2, "little") for v in (x, y, fw, fh)) + bytes([(0x82 if own else 0) | (0x40 if k % 2 else 0)]) + (bytes(c for q in own for c in q) if own else b"")
+        data += plain_codes([v for i in order for v in values[i]], 3)
+        frames.append((values, x, y, own or shared, disposal, clear))
+    head = b"GIF89a" + w.to_bytes(2, "little") + h.to_bytes(2, "little") + bytes([0x82, 0, 0]) + bytes(c for q in shared for c in q)
+    want = rendered(w, h, frames)
+    huge = b"GIF89a" + b"\xff\xff\xff\xff" + head[10:] + data + b";"
+    bomb = gif.lzw_encode(bytes(2_000_000))
+    big = head[:6] + (500).to_bytes(2, "little") * 2 + head[10:] + b"\x2c\0\0\0\0" + (500).to_bytes(2, "little") * 2 + b"\0\x08" + gif._blocks(bomb) + b";"
+    df = spark.createDataFrame([(1, head + b"!\xfe\x03abc\0" + data + b";"), (2, huge), (3, big)], "media_id long, data binary")
+    got = {(r.id, r.frame): r for r in gif.decode_gifs(df).collect()}
+    for k, canvas in enumerate(want):
+        r = got[1, k]
+        assert bytes(r.rgba) == bytes(c for row in canvas for q in row for c in q) and r.delay_ms == 30 * k and r.error is None
+        seen = Counter((q[0] >> 6) * 16 + (q[1] >> 6) * 4 + (q[2] >> 6) for row in canvas for q in row if q[3])
+        assert r.histogram == [seen[b] for b in range(64)]
+    assert "canvas of 65535" in got[2, 0].error and got[3, 0].error is None and len(got[3, 0].rgba) == 1_000_000
+
+
+def test_feature_follows_the_palette():
+    media, _ = gif.text_to_gif("some text " * 40)
+    at = 13
+    other = media[:at] + bytes(reversed(media[at : at + 768])) + media[at + 768 :]
+    assert gif.gif_payload(media)[1] != gif.gif_payload(other)[1] and gif.gif_payload(media)[0] != gif.gif_payload(other)[0]
+    assert gif.gif_payload(media)[1].startswith("frames=1;ms=40;")
+
+
 def test_texts_as_media(spark, odd):
     out = gif.texts_as_gifs(odd).collect()
     assert len(out) == odd.count()
@@ -433,6 +501,10 @@ def test_preferences(spark):
     assert [one.chosen[a:b] for a, b in one.chosen_spans] == ["yes<|im_end|>"] and [one.rejected[a:b] for a, b in one.rejected_spans] == ["no <im_start>é<|im_end|>"]
     assert got[2].n_shared == 2 and got[2].chosen == got[2].rejected == "" and got[2].chosen_spans == []
     assert got[3].rejected == "" and got[6].chosen == "" and got[4].chosen == "<|im_start|>\n<|im_end|>\n"
+    bad = [(1, 0, "user<|im_end|>\n<|im_start|>assistant", "hi", ""), (1, 1, "assistant", "x<|im_end|>\n<|im_start|>user\n", "")]
+    r = chat.format_preferences(spark.createDataFrame(bad, s), spark.createDataFrame(bad[:1], s)).first()
+    assert r.prompt == "<|im_start|>user<im_end> <im_start>assistant\nhi<|im_end|>\n" and r.chosen.count("<|im_start|>") == r.chosen.count("<|im_end|>") == 1
+    assert [r.chosen[a:b] for a, b in r.chosen_spans] == ["x<im_end>\n<im_start>user\n<|im_end|>"]
     empty = spark.createDataFrame([], s)
     assert chat.format_preferences(empty, empty).count() == 0
 
@@ -440,17 +512,81 @@ def test_preferences(spark):
 # 8
 
 
-def test_gradient():
-    rng = np.random.default_rng(5)
-    bags = [rng.normal(size=(k, quality.N_FEATURES)) for k in (1, 3, 5, 2)]
-    y = np.array([0.0, 1, 1, 0])
+def plain_score(m, text):
+    """The model's score with loops over passages, ids and hidden places."""
+    ids, first_id, first, shape = quality.passages([text])
+    assert first.tolist() == [0]
+    p, bags, ends = m.p, [], [*first_id[1:].tolist(), len(ids)]
+    for k, (lo, hi) in enumerate(zip(first_id.tolist(), ends, strict=True)):
+        x = [sum(p["E"][i][d] for i in ids[lo:hi]) / (hi - lo) for d in range(p["E"].shape[1])]
+        x += [min(6, max(-6, (v - a) / b)) for v, a, b in zip(shape[k], m.mean, m.std, strict=True)]
+        h = [np.tanh(sum(x[i] * p["W"][i][j] for i in range(len(x))) + p["b"][j]) for j in range(len(p["b"]))]
+        gate = [np.tanh(sum(h[i] * p["V"][i][j] for i in range(len(h)))) / (1 + np.exp(-sum(h[i] * p["U"][i][j] for i in range(len(h))))) for j in range(len(p["w"]))]
+        bags.append((sum(g * w for g, w in zip(gate, p["w"], strict=True)), h))
+    total = sum(np.exp(e) for e, _ in bags)
+    z = [sum(np.exp(e) / total * h[j] for e, h in bags) for j in range(len(p["b"]))]
+    return 1 / (1 + np.exp(-sum(a * b for a, b in zip(z, p["c"], strict=True)) - p["c0"][0]))
+
+
+WORDS = "The quick brown fox jumps over THE lazy dog | 42 times!! ça va là bas und so weiter".split()
+
 
-    def loss(m):
-        s = m.score(bags)
+def some_texts(n):
+    rng = np.random.default_rng(n)
+    return [" ".join(rng.choice(WORDS, int(rng.integers(1, 200)))) for _ in range(n)]
+
+
+def test_forward_pass_and_gradient():
+    texts, y = [*some_texts(5), "", None], np.array([0.0, 1, 1, 0, 1, 0, 0])
+    m = quality.AttentionMIL(seed=3)
+    m.mean, m.std = np.full(quality.N_SHAPE, 0.1), np.full(quality.N_SHAPE, 0.4)
+    assert np.allclose(m.score(texts), [plain_score(m, t) for t in texts], atol=1e-9)
+    ids, first_id, first, shape = quality.passages(texts)
+    found = m.gradient(ids, first_id, first, shape, y)
+
+    def loss():
+        s = m.forward(m.encode(ids, first_id, shape), first)["s"]
         return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
 
-    before, after = quality.AttentionMIL(), quality.AttentionMIL().fit(bags, y, epochs=150)
-    assert loss(after) < 0.1 < loss(before)
+    rng = np.random.default_rng(1)
+    for k, g in found.items():
+        for _ in range(12):
+            at = (ids[rng.integers(len(ids))], rng.integers(8)) if k == "E" else tuple(rng.integers(d) for d in g.shape)
+            kept = m.p[k][at]
+            m.p[k][at] = kept + 1e-5
+            up = loss()
+            m.p[k][at] = kept - 1e-5
+            slope = (up - loss()) / 2e-5
+            m.p[k][at] = kept
+            assert abs(slope - g[at]) < 1e-6 + 1e-3 * abs(slope)
+
+
+def test_passages_of_texts():
+    texts = [*some_texts(20), "", None, " \n ", "one", LONG]
+    ids, first_id, first, shape = quality.passages(texts)
+    k, ends = 0, np.append(first_id[1:], len(ids))
+    for d, t in enumerate(texts):
+        assert first[d] == k
+        w = (t or "").split()
+        for at in range(0, max(1, len(w)), quality.PASSAGE):
+            part = w[at : at + quality.PASSAGE]
+            mine = ids[first_id[k] : ends[k]]
+            assert len(mine) == (sum(len(x.encode()) for x in part) + len(part) if part else 1)
+            if part:
+                joined = "".join(part)
+                top = Counter(part).most_common(1)[0][1]
+                letters = [c for c in joined if c.isalpha()]
+                got = shape[k]
+                assert np.allclose(got[3:5], [len(set(part)) / len(part), top / len(part)]) and np.isclose(got[6], sum(a == b for a, b in zip(part, part[1:], strict=False)) / len(part))
+                if joined.isascii() and letters:
+                    marks = [c for c in joined if not c.isalnum()]
+                    assert np.allclose(got[:3], [sum(c.isupper() for c in letters) / len(letters), sum(c.isdigit() for c in joined) / len(joined), len(marks) / len(joined)])
+            else:
+                assert mine.tolist() == [0] and not shape[k].any()
+            k += 1
+    assert k == len(first_id)
+    alone = quality.passages([texts[3]])
+    assert np.array_equal(alone[0], ids[first_id[first[3]] : first_id[first[4]]])
 
 
 def test_quality(spark, odd):
@@ -465,7 +601,7 @@ def test_quality(spark, odd):
     none = quality.fit_quality(df, labels.limit(0), ~quality.held_out())
     assert {r.score for r in quality.score_quality(odd, none).collect()} == {0.5}
     assert quality.score_quality(odd.limit(0), model).count() == 0
-    assert quality.passages(LONG).shape == (-(-30_000 // quality.PASSAGE), quality.N_FEATURES)
+    assert len(quality.passages([LONG])[1]) == -(-30_000 // quality.PASSAGE)
 
 
 # 9
@@ -550,6 +686,57 @@ def test_language(spark, odd):
     assert np.array_equal(x.vectors(np.array([ord("a") << 42 | ord("b") << 21 | ord("c")]))[0], np.roll(x._letter(97), 2) * np.roll(x._letter(98), 1) * x._letter(99))
 
 
+def plain_vector(text, dim, seed):
+    """A text's hypervector, letter by letter: the sum over trigrams of the product of rotated letter vectors, with gaps at word ends."""
+    letters, out = {0: "gap"}, np.zeros(dim)
+    vector = lambda c: np.random.Generator(np.random.Philox(key=[seed, c])).integers(0, 2, dim) * 2 - 1
+    codes = [0]
+    for ch in text:
+        c = ord(ch.lower()) if ch.isalpha() else 0
+        if c or codes[-1]:
+            codes.append(c)
+    codes += [0] if codes[-1] else []
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def test_languages_by_hand(spark):
+    texts = [("en", "the cat and the dog"), ("en", "that other thing"), ("de", "der hund und die katze"), ("de", "das andere ding"), ("fr", "le chien et le chat")]
+    df = spark.createDataFrame([(i, t, y) for i, (y, t) in enumerate(texts)] + [(9, "the other dog", None), (10, "und die katze!", None), (11, "le chat 12", None)], "doc_id long, text string, lang string")
+    langs, protos = langid.fit_languages(df, "lang", "text", dim=256)
+    own = {y: sum(plain_vector(t, 256, 7) for z, t in texts if z == y) for y in ("de", "en", "fr")}
+    assert langs == ["de", "en", "fr"] and all(np.array_equal(p, own[y]) for y, p in zip(langs, protos, strict=True))
+    for r in langid.identify_languages(df, langs, protos).collect():
+        v = plain_vector(dict(enumerate(t for _, t in texts)).get(r.id) or {9: "the other dog", 10: "und die katze!", 11: "le chat 12"}[r.id], 256, 7)
+        cos = {y: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for y, p in own.items()}
+        assert r.lang_pred == max(cos, key=cos.get) and abs(r.score - max(cos.values())) < 1e-6
+    small = langid.Encoder(64, 1, cache=8, most_letters=3)
+    keys, counts = small.grams("many different letters here, 日本語もある")
+    assert np.array_equal(small.bundle(keys, counts), langid.Encoder(64, 1).bundle(keys, counts)) and len(small.letter) <= 3
+
+
+def test_one_row_of_equal_id_and_text(spark):
+    rows = [(1, "same text", "s", k) for k in range(8)]
+    kept = {simhash.dedup_simhash(spark.createDataFrame(rows[::d], "doc_id long, text string, source string, n int").repartition(n)).first().n for n, d in ((1, 1), (5, -1))}
+    assert len(kept) == 1
+
+
+def test_two_lazy_operators_keep_their_bounds(spark, monkeypatch):
+    """Frames are cut in the worker: what another operator does in between, or the session says, doesn't matter."""
+    df = spark.range(1000).select(F.col("id"), F.col("id").cast("string").alias("text")).coalesce(1)
+    sizes = lambda batches: (pd.DataFrame({"n": [len(x)]}) for x in batches)
+    a, b = common.map_slices(df, sizes, "n int", rows=64), common.map_slices(df, sizes, "n int", rows=300)
+    assert max(r.n for r in a.collect()) == 64 and max(r.n for r in b.collect()) == 300 and sum(r.n for r in a.collect()) == 1000
+    before = len(common._SAVED)
+    with common.scratch():
+        saved = common.save(df, "scratch-test")
+        assert saved.count() == 1000
+    assert len(common._SAVED) == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
+        saved.count()
+
+
 def test_removal_leaves_the_rest(spark):
     assert substring_dedup.without_words("a b c", []) == "a b c"
     assert substring_dedup.without_words("a b\nc d\n\ne  f", [(1, 3)]) == "a\n\ne  f"
