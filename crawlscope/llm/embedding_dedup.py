@@ -34,7 +34,7 @@ def embedding_groups(
     n_pivots: int | None = None,
     n_near: int = 12,
     min_shared: int = 4,
-    block: int = 2048,
+    block: int = 512,
 ) -> DataFrame:
     """(id, n_links, component, kept) for each row: other vectors of the same label at cosine min_cos or more.
 
@@ -44,7 +44,7 @@ def embedding_groups(
     the inverted lists of those alone. Lists hold keys and pivots; shared pivots are counted there, in blocks, and only members that
     have a candidate are met by their vectors and verified by the cosine in double precision, in the list of the
     first pivot that a pair shares. Lists longer than `block` are dealt as pairs of blocks, so every pair of a list still meets.
-    Blocks return counts and a spanning forest, never all pairs. All vectors are indexed. Recall against all pairs is measured in
+    Cells return counts and a spanning forest, never all pairs. All vectors are indexed. Recall against all pairs is measured in
     tests/llm, for cosines from min_cos on.
 
     Equal vectors of a label are one member with a weight. Vectors that are null, empty, zero or hold null or
@@ -106,45 +106,68 @@ def embedding_groups(
     lists = described.mapInArrow(enter, "key string, label string, size int, pivot int, near array<int>").select("key", F.xxhash64("label", "size", "pivot").alias("list"), "pivot", "near")
     cells = in_blocks(lists, "list", "key", block)
 
-    def candidates(x: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
-        """Which members of a cell, in order of their keys, share enough pivots; a pair counts in the list of the first that it shares."""
-        x = x.sort_values("key", ignore_index=True)
-        near, pivot = np.stack(x["near"].to_list()), int(x["pivot"].iloc[0])
+    def candidates(near: np.ndarray, pivot: int, side: np.ndarray, apart: bool) -> np.ndarray:
+        """Which members of a cell share enough pivots; a pair counts in the list of the first that it shares."""
         names, col = np.unique(near, return_inverse=True)
-        mark = np.zeros((len(x), len(names)), np.float32)
-        mark[np.arange(len(x))[:, None], col.reshape(near.shape)] = 1
-        need = min(min_shared, near.shape[1])
-        close = mark @ mark.T >= need
-        earlier = mark[:, names < pivot]
-        close &= earlier @ earlier.T == 0
+        mark = np.zeros((len(near), len(names)), np.float32)
+        mark[np.arange(len(near))[:, None], col.reshape(near.shape)] = 1
+        close = mark @ mark.T >= min(min_shared, near.shape[1])
+        if close.sum() > len(near):
+            earlier = mark[:, names < pivot]
+            close &= earlier @ earlier.T == 0
         np.fill_diagonal(close, False)
-        side = x["side"].to_numpy()
-        if x["i"].iloc[0] != x["j"].iloc[0]:
-            close &= side[:, None] != side[None, :]
-        return close, x
-
-    def count(x: pd.DataFrame) -> pd.DataFrame:
-        close, x = candidates(x)
-        return x[close.any(axis=1)]
-
-    few = cells.groupBy("list", "i", "j").applyInPandas(count, cells.schema)
+        return close & (side[:, None] != side[None, :]) if apart else close
+
+    def cells_of(x: pa.RecordBatch):
+        """(its members' places in the flattened column m, whether only unlike sides meet, pivot, nears, sides) of each cell; and the column."""
+        lists = x.column("m")
+        m, ends = lists.flatten(), np.cumsum(np.diff(lists.offsets.to_numpy()))
+        size, near = _matrix(m.field("near"))
+        near, side, pivot = near.reshape(len(m), -1), m.field("side").to_numpy(), m.field("pivot").to_numpy()
+        apart = x.column("i").to_numpy() != x.column("j").to_numpy()
+        each = ((np.arange(b - n, b), a, int(pivot[b - 1]), near[b - n : b], side[b - n : b]) for a, b, n in zip(apart, ends.tolist(), np.diff(np.append(0, ends)).tolist(), strict=True))
+        return m, each
+
+    def count(batches):
+        for x in slices(batches, 256):
+            m, each = cells_of(x)
+            cell, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, (at, apart, pivot, near, side) in enumerate(each):
+                hit = at[candidates(near, pivot, side, apart).any(axis=1)]
+                cell.append(np.full(len(hit), k))
+                place.append(hit)
+            cell, place = pa.array(np.concatenate(cell)), pa.array(np.concatenate(place))
+            names = ["key", "pivot", "near", "side"]
+            yield pa.RecordBatch.from_arrays([*(x.column(c).take(cell) for c in ("list", "i", "j")), *(m.field(c).take(place) for c in names)], ["list", "i", "j", *names])
+
+    member = F.struct("key", "pivot", "near", "side")
+    cells = cells.groupBy("list", "i", "j").agg(F.collect_list(member).alias("m")).where(F.size("m") > 1)
+    few = cells.mapInArrow(count, "list long, i int, j int, key string, pivot int, near array<int>, side int")
     facts = reps.select("key", "n", F.col("least").cast("string").alias("least"), "emb")
-    met = save(few.join(facts, "key"), "vector-candidates")
-
-    def verify(x: pd.DataFrame) -> pd.DataFrame:
-        close, x = candidates(x)
-        e = np.stack(x["emb"].to_list()).astype(float)
-        e /= np.abs(e).max(axis=1, keepdims=True)
-        e /= np.linalg.norm(e, axis=1, keepdims=True)
-        close &= e @ e.T >= min_cos
-        links, key, least = close @ x["n"].to_numpy(), x["key"].to_numpy(), x["least"].to_numpy()
-        other, name = np.full(len(x), None, object), np.full(len(x), None, object)
-        for p, c in zip(*forest(close), strict=True):
-            other[c], name[c] = key[p], least[p]
-        hit = links > 0
-        return pd.DataFrame({"key": key[hit], "least": least[hit], "links": links[hit], "other": other[hit], "other_least": name[hit]})
-
-    found = save(met.groupBy("list", "i", "j").applyInPandas(verify, "key string, least string, links long, other string, other_least string"), "vector-links")
+    member = F.struct("key", "pivot", "near", "side", "n", "least", "emb")
+    met = few.join(facts, "key").groupBy("list", "i", "j").agg(F.array_sort(F.collect_list(member)).alias("m"))
+
+    def verify(batches):
+        for x in slices(batches, 64):
+            m, each = cells_of(x)
+            size, values = _matrix(m.field("emb"))
+            begin = np.cumsum(size) - size
+            key, least, n = (m.field(c).to_numpy(zero_copy_only=False) for c in ("key", "least", "n"))
+            out = []
+            for at, apart, pivot, near, side in each:
+                e = values[begin[at][:, None] + np.arange(size[at[0]])].astype(float)
+                e /= np.abs(e).max(axis=1, keepdims=True)
+                e /= np.linalg.norm(e, axis=1, keepdims=True)
+                close = candidates(near, pivot, side, apart) & (e @ e.T >= min_cos)
+                links, other = close @ n[at], np.full(len(at), -1)
+                for p, c in zip(*forest(close), strict=True):
+                    other[c] = at[p]
+                out += [(key[a], least[a], k, *((key[o], least[o]) if o >= 0 else (None, None))) for a, k, o in zip(at.tolist(), links.tolist(), other.tolist(), strict=True) if k]
+            yield pd.DataFrame(out, columns=["key", "least", "links", "other", "other_least"])
+
+    target = pa.schema([("key", pa.string()), ("least", pa.string()), ("links", pa.int64()), ("other", pa.string()), ("other_least", pa.string())])
+    to_arrow = lambda batches: (pa.RecordBatch.from_pandas(x, schema=target, preserve_index=False) for x in verify(batches))
+    found = save(met.mapInArrow(to_arrow, "key string, least string, links long, other string, other_least string"), "vector-links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     # A vector's name begins with its least id, so the least name of a component has the least id; null ids come last.
     name = lambda i, k: F.struct(F.col(i).isNull().alias("z"), F.col(i).cast(kind).alias("id"), F.col(k).alias("key"))
