@@ -22,8 +22,8 @@ SHINGLE = 5
 REACH = 5
 #: Lines of more words than LONG are cut in the same way, at pairs that are the least among FAR to either side.
 LONG, FAR = 128, 24
-#: Beyond a piece's ends, the words that are compared: in steps of STEP, as so many hashes of 12 bits.
-STEP, STEPS = 4, 5
+#: Beyond a piece's ends, the words that are compared: in STEPS steps of STEP words, by hashes of BITS bits; both sides fit in one long.
+STEP, STEPS, BITS = 6, 3, 10
 
 
 def tune_bands(similarity: float, recall: float = 0.99, unlike: float = 0.3, false: float = 0.02, max_hashes: int = 64) -> tuple[int, int]:
@@ -144,31 +144,31 @@ def band_keys(shingle: np.ndarray, start: np.ndarray, size: np.ndarray, bands: i
 
 
 def beyond(w: np.ndarray, edge: np.ndarray, bound: np.ndarray, own: np.ndarray, sign: int) -> np.ndarray:
-    """STEPS hashes of 12 bits side by side: of the STEP, 2 * STEP, ... words before (sign -1) or after (1) each edge.
+    """STEPS hashes of BITS bits side by side: of the STEP, 2 * STEP, ... words before (sign -1) or after (1) each edge.
 
     Where the document ends (bound), a hash of the document's own value stands in, which no other has.
     """
-    four = np.zeros(len(w) + STEP, np.uint64)
+    some = np.zeros(len(w) + STEP, np.uint64)
     padded = np.append(w, np.zeros(2 * STEP, np.uint64))
     for k in range(STEP):
-        four = four * np.uint64(0xD1342543DE82EF95) + padded[k : k + len(four)]
+        some = some * np.uint64(0xD1342543DE82EF95) + padded[k : k + len(some)]
     chain, out = np.zeros(len(edge), np.uint64), np.zeros(len(edge), np.uint64)
     for j in range(STEPS):
         at = edge - STEP * (j + 1) if sign < 0 else edge + STEP * j
         inside = at >= bound if sign < 0 else at + STEP <= bound
-        chain = _mixed(chain * np.uint64(31) + np.where(inside, four[np.clip(at, 0, len(w))], own))
-        out |= (chain & np.uint64(0xFFF)) << np.uint64(12 * j)
-    return out.view(np.int64)
+        chain = _mixed(chain * np.uint64(31) + np.where(inside, some[np.clip(at, 0, len(w))], own))
+        out |= (chain & np.uint64((1 << BITS) - 1)) << np.uint64(BITS * j)
+    return out
 
 
 def paragraph_rows(docs: DataFrame, bands: int, n_rows: int) -> DataFrame:
-    """(doc, th, near, at, size, h, left, right, keys) of docs (doc, th, text), one row for each paragraph of each whole text.
+    """(doc, th, near, at, size, h, around, keys) of docs (doc, th, text), one row for each paragraph of each whole text.
 
     near: a line, or a part of one of over LONG words, with its MinHash band keys. Else a piece of the flat text, in which newlines are
-    plain white space: it is the same wherever the passage around it stands, however its lines are broken; left and right tell what
+    plain white space: it is the same wherever the passage around it stands, however its lines are broken; around tells what
     goes before and after. Paragraphs of fewer than SHINGLE words have no shingle and are left out.
     """
-    tail = [StructField(c, IntegerType()) for c in ("near", "at", "size")] + [StructField(c, LongType()) for c in ("h", "left", "right")]
+    tail = [StructField(c, IntegerType()) for c in ("near", "at", "size")] + [StructField(c, LongType()) for c in ("h", "around")]
     schema = StructType([docs.schema["doc"], docs.schema["th"], *tail, StructField("keys", ArrayType(LongType()))])
     target = to_arrow_schema(schema)
 
@@ -178,9 +178,9 @@ def paragraph_rows(docs: DataFrame, bands: int, n_rows: int) -> DataFrame:
             if not len(w):
                 continue
 
-            def batch(near, doc, at, size, h, left, right, keys, x=x):
+            def batch(near, doc, at, size, h, around, keys, x=x):
                 place, n = pa.array(doc), len(doc)
-                ints = [pa.array(c, pa.int32()) for c in (np.full(n, near), at, size)] + [pa.array(c.view(np.int64)) for c in (h, left, right)]
+                ints = [pa.array(c, pa.int32()) for c in (np.full(n, near), at, size)] + [pa.array(c.view(np.int64)) for c in (h, around)]
                 return pa.RecordBatch.from_arrays([x.column("doc").take(place), x.column("th").take(place), *ints, keys], schema=target)
 
             head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
@@ -191,9 +191,9 @@ def paragraph_rows(docs: DataFrame, bands: int, n_rows: int) -> DataFrame:
             d = np.searchsorted(begin, start, "right") - 1
             own = np.array([xxhash.xxh3_64_intdigest(str(x.column("doc")[i].as_py())) for i in doc_of.tolist()], np.uint64)[d]
             ends = np.append(begin[1:], len(w))[d]
-            left, right = beyond(w, start, begin[d], own, -1), beyond(w, start + size, ends, own, 1)
+            around = beyond(w, start, begin[d], own, -1) | beyond(w, start + size, ends, own, 1) << np.uint64(STEPS * BITS)
             h, k = positional_hash(w, start, size, 1), size >= SHINGLE
-            yield batch(0, doc_of[d][k], (start - begin[d])[k], size[k], h[k], left[k], right[k], pa.nulls(int(k.sum()), pa.list_(pa.int64())))
+            yield batch(0, doc_of[d][k], (start - begin[d])[k], size[k], h[k], around[k], pa.nulls(int(k.sum()), pa.list_(pa.int64())))
 
             cut = np.zeros(len(w), bool)
             cut[first] = True
@@ -211,23 +211,23 @@ def paragraph_rows(docs: DataFrame, bands: int, n_rows: int) -> DataFrame:
             w, start_in, start, size = w[words], np.cumsum(size[k]) - size[k], start[k], size[k]
             d = np.searchsorted(begin, start, "right") - 1
             keys = band_keys(shingle_hashes(w), start_in, size, bands, n_rows)
-            zero = np.zeros(len(start), np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-            yield batch(1, doc_of[d], start - begin[d], size, positional_hash(w, start_in, size, 2), zero, zero, lists)
+            yield batch(1, doc_of[d], start - begin[d], size, positional_hash(w, start_in, size, 2), np.zeros(len(start), np.int64), lists)
 
     return docs.mapInArrow(run, schema)
 
 
-def _words_alike(a: Column, b: Column) -> Column:
-    """How many words are equal beyond a piece's end, by steps of STEP (one too many in one of 4,096 cases); see beyond()."""
-    differ, out = a.bitwiseXOR(b), F
+def _words_alike(differ: Column, side: int) -> Column:
+    """How many words are equal beyond a piece's left (0) or right (1) end, by steps of STEP, from the difference of two `around`
+    (one step too many in one of 1,024 cases)."""
+    out = F
     for j in range(STEPS):
-        out = out.when(F.shiftrightunsigned(differ, 12 * j).bitwiseAND(F.lit(0xFFF)) != 0, STEP * j)
+        out = out.when(F.shiftrightunsigned(differ, BITS * (j + STEPS * side)).bitwiseAND(F.lit((1 << BITS) - 1)) != 0, STEP * j)
     return out.otherwise(STEP * STEPS)
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, min_words: int = 45, block: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, min_words: int = 40, block: int = 256
 ) -> DataFrame:
     """Passages that repeat in another document: (doc, th, at, n_words, kept_doc, cluster), a row for each to remove and each document that keeps it.
 
@@ -237,7 +237,7 @@ def repeated_passages(
     that reaches over several documents, the paragraphs in the least doc (kept_doc) stay, and all others repeat; a piece grows by the
     words that go before and after it in both documents. What repeats of a document makes stretches of words; those of
     min_words or more are the rows: from word `at`, n_words. So shared headings, license lines and other short lines are left alone. A
-    passage of 51 words in the middle of unlike text is found with a chance of 0.994, one of 60 with 0.9998 (simulated).
+    passage of 51 words in the middle of unlike text is found with a chance of 0.998 (simulated).
 
     Keys are found with map-side combine (the least and largest document of a hash tell whether there are two), so a passage that a
     third of all documents hold is never gathered; lines of a key are compared in blocks. Texts are read once for the paragraphs,
@@ -249,7 +249,7 @@ def repeated_passages(
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     rows = save(paragraph_rows(src, bands, n_rows), "paragraphs")
 
-    least = F.min(F.struct("doc", "left", "right")).alias("kept")
+    least = F.min(F.struct("doc", "around")).alias("kept")
     shared = rows.groupBy("h").agg(least, F.max("doc").alias("hi")).where(F.col("kept.doc") < F.col("hi"))
     shared = save(shared.select(F.col("h").alias("cluster"), "kept"), "paragraphs-shared")
 
@@ -280,9 +280,9 @@ def repeated_passages(
     group = save(found.groupBy("component").agg(F.min("lo").alias("kept_doc"), F.max("hi").alias("hi")).where(F.col("kept_doc") < F.col("hi")).drop("hi"), "paragraphs-clusters")
     near = comps.join(group, "component").select(F.col("node").alias("h"), F.col("component").alias("cluster"), "kept_doc")
 
-    hits = rows.select("doc", "th", "near", "at", "size", "h", "left", "right").join(shared.withColumnRenamed("cluster", "h"), "h").where(F.col("doc") != F.col("kept.doc"))
-    more = lambda side: F.when(F.col("near") == 0, _words_alike(F.col(side), F.col(f"kept.{side}"))).otherwise(0)
-    hits = hits.select("doc", "th", F.greatest(F.col("at") - more("left"), F.lit(0)).alias("at"), (F.col("at") + F.col("size") + more("right")).alias("end"), F.col("kept.doc").alias("kept_doc"), F.col("h").alias("cluster"))
+    hits = rows.select("doc", "th", "near", "at", "size", "h", "around").join(shared.withColumnRenamed("cluster", "h"), "h").where(F.col("doc") != F.col("kept.doc"))
+    more = lambda side: F.when(F.col("near") == 0, _words_alike(F.col("around").bitwiseXOR(F.col("kept.around")), side)).otherwise(0)
+    hits = hits.select("doc", "th", F.greatest(F.col("at") - more(0), F.lit(0)).alias("at"), (F.col("at") + F.col("size") + more(1)).alias("end"), F.col("kept.doc").alias("kept_doc"), F.col("h").alias("cluster"))
     like = rows.where("near = 1").select("doc", "th", "at", "size", "h").join(near, "h").where(F.col("doc") != F.col("kept_doc"))
     hits = hits.unionByName(like.select("doc", "th", "at", (F.col("at") + F.col("size")).alias("end"), "kept_doc", "cluster"))
 
