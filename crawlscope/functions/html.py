@@ -1,15 +1,15 @@
-"""HTML metadata through the standard library's parser, in Arrow batches; a native title for well-formed pages."""
+"""HTML metadata through the standard library's parser, in Arrow batches; for the title alone, a native search."""
 
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 METADATA = "title string, meta_description string, keywords string, og_title string, og_description string, og_type string"
 # Where a page's main text is looked for, by priority.
 MAIN = ["main", "article", ".content", "#content", ".main", "#main", ".post", ".entry-content"]
@@ -17,13 +17,15 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 def page_title(html: Column, most: int = 500) -> Column:
-    """The first title's text with the common entities decoded, stripped, cut; empty if there is none. Native."""
-    x = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for entity, ch in _ENTITIES:
-        x = F.replace(x, F.lit(entity), F.lit(ch))
+    """The first title's text with all entities decoded, stripped, cut; empty if there is none. Only titles go to Python, to be decoded."""
+    x = F.pandas_udf(_decoded, "string")(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
     return F.substring(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), 1, most)
 
 
+def _decoded(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: unescape(t) if t and "&" in t else t)
+
+
 class _Page(HTMLParser):
     """Title, meta tags and text of a page; the text of elements that MAIN names is kept apart."""
 

@@ -125,6 +125,17 @@ def match_category(response: Column, categories: Sequence[str], fold: bool = Tru
     )
 
 
+def landing_label(content: Column, error: Column, response: Column, categories: Sequence[str], other: str) -> Column:
+    """struct(category, confidence, status) of a landing page: without content `other` at 0.1 and the reason; else what the response, in
+    its own case, matches at 0.8, or `other` at 0.5."""
+    m = match_category(F.coalesce(response, F.lit("")), categories, fold=False, other=other)
+    none = F.coalesce(content, F.lit("")) == ""
+    return F.struct(
+        F.when(none, F.lit(other)).otherwise(m["category"]).alias("category"), F.when(none, 0.1).otherwise(m["confidence"]).alias("confidence"),
+        F.when(none, F.coalesce(error, F.lit("Failed to fetch content"))).otherwise(F.lit("Success")).alias("status"),
+    )
+
+
 def topic_name(keywords: Column) -> Column:
     """A name from the first four keywords: those of over two letters, in title case."""
     usable = F.transform(F.filter(F.slice(keywords, 1, 4), lambda k: (F.length(k) > 2) & k.rlike(r"^\p{L}+$")), lambda k: F.initcap(k))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlscope.functions.text import cosine
@@ -29,6 +29,7 @@ def _c(name: str, description: str, keywords: str, tlds: str, domains: str) -> C
     return Category(name, description, tuple(keywords.split()), tuple(tlds.split()), tuple(domains.split()))
 
 
+# The names, which are the labels of the results.
 #: Our own short catalogue; a larger one is handed in as rows of the same shape.
 CATALOGUE = (
     _c("E-Commerce & Shopping", "shops and marketplaces", "shop store cart price order sale", ".shop .store", "shop store market buy"),
@@ -161,6 +162,3 @@ def summary(df: DataFrame, category: str = "category", confidence: str = "confid
     out = each.crossJoin(F.broadcast(total))
     return out.select(category, "n", F.round(100 * F.col("n") / F.col("total"), 6).alias("pct"), "mean_confidence", "n_high", F.startswith(F.col(category), F.lit("*")).alias("conflict"), (F.col(category) == OTHER).alias("vague"))
 
-
-def ordered_within(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

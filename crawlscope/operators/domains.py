@@ -116,3 +116,20 @@ def agreement(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         for a, b in pairs
         for x in (share(F.col(a).cast("string") == F.col(b).cast("string"), has(a) & has(b)).alias(f"same_{a}"), share(~has(a) & has(b)).alias(f"only_{b}"))
     ])
+
+
+def restore_order(results: DataFrame, asked: DataFrame, key: str, position: str) -> DataFrame:
+    """Results in the order in which they were asked for: by the least position of their key."""
+    first = asked.groupBy(key).agg(F.min(position).alias(position))
+    return results.join(first, key).orderBy(position)
+
+
+def tail(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The last n rows in an order: a top-k from the other end, without a full sort."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def valid_share(df: DataFrame, text: Column) -> DataFrame:
+    """One row: rows, those with a text that isn't blank, and their share."""
+    ok = F.coalesce(F.trim(text), F.lit("")) != ""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(ok).alias("n_valid"), share(ok).alias("pct"))

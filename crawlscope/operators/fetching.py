@@ -21,24 +21,43 @@ def histogram(df: DataFrame, key: str, n: str = "n") -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(key, n, F.round(100 * F.col(n) / F.col("total"), 6).alias("pct"))
 
 
-def diagnosis(mean_seconds: Column, success: Column, throttled: Column, request_errors: Column, timeouts: Column) -> Column:
-    """What is wrong, as an array: limits are 10 s, 70 % success, 10 % throttled, 10 % request errors, 20 % timeouts."""
+def request_stats(df: DataFrame, key: str, seconds: str, status: str, error: str, cache_hit: Column | None = None) -> DataFrame:
+    """By key: answered and failed requests, 429s, errors by class, the mean time of the answered ones and, given whether each
+    look-up was cached, the share of hits. What has a status counts as answered."""
+    s, e = F.col(status), F.col(error)
+    made = [
+        F.count_if(s.isNotNull()).alias("answered"), F.count_if(s.isNull()).alias("failed"), F.count_if(s == 429).alias("throttled"),
+        F.count_if(s.isNull() & (e == "Request")).alias("request_errors"), F.count_if(s.isNull() & (e == "Timeout")).alias("timeouts"),
+        F.round(F.avg(F.when(s.isNotNull(), F.col(seconds))), 6).alias("mean_seconds"),
+    ]
+    if cache_hit is not None:
+        made.append(F.round(F.coalesce(F.try_divide(100.0 * F.count_if(cache_hit), F.count(cache_hit)), F.lit(0.0)), 6).alias("cache_hit_pct"))
+    return df.groupBy(key).agg(*made)
+
+
+def diagnosis(mean_seconds: Column, answered: Column, failed: Column, throttled: Column, request_errors: Column, timeouts: Column) -> Column:
+    """What is wrong, as an array; null if nothing was answered. The limits: 10 s, 70 % answered, and, of the answered requests' number,
+    a tenth throttled, a tenth request errors, a fifth timeouts."""
     found = F.array(
         F.when(mean_seconds > 10, "slow responses"),
-        F.when(success < 70, "low success rate"),
-        F.when(throttled > 10, "throttled"),
-        F.when(request_errors > 10, "request errors"),
-        F.when(timeouts > 20, "timeouts"),
+        F.when(100.0 * answered / (answered + failed) < 70, "low success rate"),
+        F.when(throttled > answered * 0.1, "throttled"),
+        F.when(request_errors > answered * 0.1, "request errors"),
+        F.when(timeouts > answered * 0.2, "timeouts"),
     )
-    return F.array_compact(found)
+    return F.when(answered > 0, F.array_compact(found))
 
 
-def bottleneck(cpu: Column, memory: Column, connections: Column, mb_per_s: Column) -> Column:
-    """The first limit that a machine has hit."""
-    return (
-        F.when(cpu > 85, "cpu").when(memory > 90, "memory").when(connections > 800, "connections").when(mb_per_s > 50, "network")
-        .when((cpu < 40) & (connections < 300), "more workers possible").otherwise("none")
-    )
+def resource_levels(cpu: Column, memory: Column, connections: Column, mb_per_s: Column) -> Column:
+    """struct(cpu, memory, connections, throughput): low, normal or high."""
+    level = lambda x, low, high: F.when(x < low, "low").when(x > high, "high").otherwise("normal")
+    return F.struct(level(cpu, 40, 85).alias("cpu"), level(memory, 70, 90).alias("memory"), level(connections, 300, 800).alias("connections"), level(mb_per_s, 5, 50).alias("throughput"))
+
+
+def bottleneck(cpu: Column, memory: Column, mb_per_s: Column) -> Column:
+    """What most likely limits a machine: the first case that holds."""
+    idle = (cpu < 50) & (memory < 70) & (mb_per_s < 20)
+    return F.when(idle, "external").when(cpu > 80, "cpu").when(mb_per_s > 30, "network").otherwise("external, resources available")
 
 
 def rolling(df: DataFrame, key: str, order: list[str], value: str, rows: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,22 @@ def assign_topics(df: DataFrame, vector: str, n_topics: int = 10, dims: int = 5,
     rows = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     small = PCA(k=dims, inputCol="_v", outputCol="_p").fit(rows).transform(rows)
     found = KMeans(k=n_topics, seed=seed, featuresCol="_p", predictionCol="topic").fit(small).transform(small)
+    # There are n_topics rows at most to broadcast.
     large = found.groupBy("topic").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size).select(F.col("topic").alias("_t"))
     met = found.join(F.broadcast(large), F.col("topic") == F.col("_t"), "left")
     return met.select(*df.columns, F.coalesce("_t", F.lit(-1)).alias("topic"))
 
 
-def terms(df: DataFrame, key: str, text: str, topic: str) -> DataFrame:
+def terms(df: DataFrame, text: str, topic: str) -> DataFrame:
     """(topic, term, n, df): one- and two-word terms of letters, without stop words; df counts rows that hold the term."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
-    rows = df.select(F.col(topic).alias("topic"), F.col(key).alias("key"), words.alias("w"))
+    rows = df.select(F.col(topic).alias("topic"), words.alias("w"))
     rows = rows.withColumn("w2", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    each = rows.select("topic", "key", F.explode(F.concat("w", "w2")).alias("term")).groupBy("topic", "key", "term").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("topic", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
+    rows = rows.select("topic", F.concat("w", "w2").alias("t"))
+    # A row is one document: its different terms count for df, all of them for n; both sums combine before the one exchange.
+    mark = lambda t, n, d: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("df")))
+    each = rows.select("topic", F.explode(F.concat(mark("t", 1, 0), mark(F.array_distinct("t"), 0, 1))).alias("x")).select("topic", "x.*")
+    return each.groupBy("topic", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def weighted_terms(counts: DataFrame, n_rows: int, min_df: int = 3, max_df: float = 0.95, most: int = 5000) -> DataFrame:
@@ -45,25 +51,40 @@ def weighted_terms(counts: DataFrame, n_rows: int, min_df: int = 3, max_df: floa
     return x.select("topic", "term", F.round(F.col("n") / F.col("size") * F.ln(1 + F.col("mean") / F.col("all_n")), 9).alias("weight"))
 
 
-def keywords(weights: DataFrame, most: int = 8, pool: int = 24, diversity: float = 0.3) -> DataFrame:
-    """(topic, all_keywords): `most` terms of the `pool` heaviest, chosen one by one for weight and against shared letters
-    with those chosen (maximal marginal relevance)."""
+def keywords(weights: DataFrame, embed, most: int = 8, pool: int = 24, diversity: float = 0.3) -> DataFrame:
+    """(topic, all_keywords): `most` terms of the `pool` heaviest, chosen one by one for weight and against likeness to those chosen
+    (maximal marginal relevance); likeness is the cosine of what `embed`, a column function as in providers, makes of terms."""
     w = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
     heavy = weights.withColumn("k", F.row_number().over(w)).where(F.col("k") <= pool)
-    rows = heavy.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("k", "term", "weight"))).alias("x"))
-
-    @F.udf("array<string>")
-    def choose(x):
-        grams = {r["term"]: {r["term"][i : i + 3] for i in range(max(1, len(r["term"]) - 2))} for r in x}
-        top, left, out = max((r["weight"] for r in x), default=1) or 1, list(x), []
-        like = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    rows = heavy.select("topic", "k", "term", "weight", embed(F.col("term")).alias("v"))
+
+    def choose(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("k")
+        v = np.stack(x["v"].to_list()).astype(float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        like, gain = v @ v.T, (1 - diversity) * x["weight"].to_numpy() / max(x["weight"].max(), 1e-12)
+        left, out = list(range(len(x))), []
         while left and len(out) < most:
-            best = max(left, key=lambda r: ((1 - diversity) * r["weight"] / top - diversity * max((like(r["term"], o) for o in out), default=0), -r["k"]))
-            out.append(best["term"])
+            best = max(left, key=lambda i: (round(gain[i] - diversity * max((like[i, o] for o in out), default=0.0), 9), -i))
+            out.append(best)
             left.remove(best)
-        return out
+        return pd.DataFrame({"topic": [x["topic"].iloc[0]], "all_keywords": [x["term"].iloc[out].tolist()]})
+
+    # A group has `pool` rows at most.
+    return rows.groupBy("topic").applyInPandas(choose, f"topic {weights.schema['topic'].dataType.simpleString()}, all_keywords array<string>")
+
+
+def require_population(n: int, least: int = 50) -> int:
+    """n, if there are enough texts to find topics in; else an error."""
+    if n < least:
+        raise ValueError(f"{n} texts; topics need at least {least}")
+    return n
+
 
-    return rows.select("topic", choose("x").alias("all_keywords"))
+def outliers(df: DataFrame, topic: str = "topic") -> DataFrame:
+    """One row: the number of topics (without the outlier topic -1), of rows outside any, and their share."""
+    out = F.col(topic) == -1
+    return df.agg(F.count_distinct(F.when(~out, F.col(topic))).alias("n_topics"), F.count_if(out).alias("n_outliers"), F.round(F.try_divide(100.0 * F.count_if(out), F.count(F.lit(1))), 6).alias("outlier_pct"))
 
 
 def topic_table(sizes: DataFrame, words: DataFrame) -> DataFrame:

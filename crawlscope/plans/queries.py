@@ -12,7 +12,7 @@ from crawlscope.operators import classify as C
 from crawlscope.operators import domains as D
 from crawlscope.operators import fetching as E
 from crawlscope.operators import topics as P
-from crawlscope.sources.providers import ask_labels, fetch_pages, hashed_embedding
+from crawlscope.sources.providers import ask_labels, fetch_pages, hashed_embedding, load_models
 from crawlscope.streaming.ingest import windowed_counts
 
 QUERIES: dict = {}
@@ -161,22 +161,28 @@ def page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", page_title(F.col("html")).alias("title"))
 
 
-_WITH_META = """CASE WHEN page_id % 2 = 0 THEN replace(html, '</head>', '<meta name="description" content="d' || page_id || '"><meta property="og:type" content="article"></head>') ELSE html END"""
-
-
-def _meta_sql(kind: str, name: str) -> str:
-    return f"""nullif(regexp_extract(html, '<meta {kind}="{name}" content="([^"]*)"', 1), '')"""
+# Tags put into every other page: with entities, over the cuts, and an og:description where the description is empty.
+_TAGS = [
+    ("name", "description", lambda i: F.when(F.pmod(i, F.lit(4)) == 0, F.concat(F.lit("d"), i.cast("string"))).otherwise("")),
+    ("name", "keywords", lambda i: F.concat(F.lit("a &amp; b, "), F.repeat(F.lit("k"), 1200))),
+    ("property", "og:title", lambda i: F.concat(F.lit("T&lt;"), i.cast("string"), F.repeat(F.lit("t"), 600))),
+    ("property", "og:description", lambda i: F.concat(F.lit("og &#39;"), i.cast("string"), F.repeat(F.lit("o"), 1200))),
+    ("property", "og:type", lambda i: F.concat(F.lit("article"), F.repeat(F.lit("y"), 200))),
+]
 
 
 @query(
-    f"""SELECT page_id, CASE WHEN contains(html, '<title') THEN {_TITLE} END AS title, coalesce({_meta_sql("name", "description")}, {_meta_sql("property", "og:description")}) AS meta_description,
-  {_meta_sql("name", "keywords")} AS keywords, {_meta_sql("property", "og:title")} AS og_title, {_meta_sql("property", "og:description")} AS og_description, {_meta_sql("property", "og:type")} AS og_type
-FROM (SELECT page_id, {_WITH_META} AS html FROM pages)"""
+    f"""SELECT page_id, CASE WHEN contains(html, '<title') THEN {_TITLE} END AS title,
+  CASE WHEN page_id % 4 = 0 THEN 'd' || page_id WHEN page_id % 2 = 0 THEN substr('og ' || chr(39) || page_id || repeat('o', 1200), 1, 1000) END AS meta_description,
+  CASE WHEN page_id % 2 = 0 THEN substr('a & b, ' || repeat('k', 1200), 1, 1000) END AS keywords,
+  CASE WHEN page_id % 2 = 0 THEN substr('T<' || page_id || repeat('t', 600), 1, 500) END AS og_title,
+  CASE WHEN page_id % 2 = 0 THEN substr('og ' || chr(39) || page_id || repeat('o', 1200), 1, 1000) END AS og_description,
+  CASE WHEN page_id % 2 = 0 THEN substr('article' || repeat('y', 200), 1, 100) END AS og_type FROM pages"""
 )
 def metadata_extract(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "html")
-    tag = F.concat(F.lit('<meta name="description" content="d'), F.col("page_id").cast("string"), F.lit('"><meta property="og:type" content="article"></head>'))
-    html = F.when(F.pmod("page_id", F.lit(2)) == 0, F.replace("html", F.lit("</head>"), tag)).otherwise(F.col("html"))
+    tags = F.concat(*[x for kind, name, made in _TAGS for x in (F.lit(f'<meta {kind}="{name}" content="'), made(F.col("page_id")), F.lit('">'))], F.lit("</head>"))
+    html = F.when(F.pmod("page_id", F.lit(2)) == 0, F.replace("html", F.lit("</head>"), tags)).otherwise(F.col("html"))
     return pages.select("page_id", page_metadata(html).alias("m")).select("page_id", "m.*")
 
 
@@ -226,17 +232,33 @@ def status_histogram(spark, sf_dir):
     return E.histogram(_answers(spark, sf_dir).select(F.coalesce("status", F.lit(0)).alias("status")), "status")
 
 
+# Of requests without a status, each other one timed out. A look-up of every third is cached.
+_REQUESTS = f"(SELECT *, CASE WHEN status IS NULL THEN CASE WHEN event_id % 2 = 0 THEN 'Timeout' ELSE 'Request' END END AS error, event_id % 3 = 0 AS hit FROM {_ANSWERS})"
+_STATS = f"""SELECT user_id, count(status) AS answered, count(*) - count(status) AS failed, count(*) FILTER (WHERE status = 429) AS throttled,
+  count(*) FILTER (WHERE error = 'Request') AS request_errors, count(*) FILTER (WHERE error = 'Timeout') AS timeouts,
+  round(avg(value) FILTER (WHERE status IS NOT NULL), 6) AS mean_seconds, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 6) AS cache_hit_pct FROM {_REQUESTS} GROUP BY user_id"""
+
+
+def _request_stats(spark, sf_dir) -> DataFrame:
+    a = _answers(spark, sf_dir)
+    error = F.when(F.col("status").isNull(), F.when(F.pmod("event_id", F.lit(2)) == 0, "Timeout").otherwise("Request"))
+    return E.request_stats(a.withColumn("error", error), "user_id", "value", "status", "error", F.pmod("event_id", F.lit(3)) == 0)
+
+
+@query(_STATS)
+def request_stats(spark, sf_dir):
+    return _request_stats(spark, sf_dir)
+
+
 @query(
-    f"""SELECT user_id, array_to_string(list_filter([CASE WHEN avg(value) > 10 THEN 'slow responses' END, CASE WHEN 100.0 * count(*) FILTER (WHERE status = 200) / count(*) < 70 THEN 'low success rate' END,
-  CASE WHEN 100.0 * count(*) FILTER (WHERE status = 429) / count(*) > 10 THEN 'throttled' END, CASE WHEN 100.0 * count(*) FILTER (WHERE status IS NULL) / count(*) > 10 THEN 'request errors' END], lambda x: x IS NOT NULL), ', ') AS found
-FROM {_ANSWERS} GROUP BY user_id"""
+    f"""SELECT user_id, CASE WHEN answered > 0 THEN array_to_string(list_filter([CASE WHEN mean_seconds > 10 THEN 'slow responses' END,
+  CASE WHEN 100.0 * answered / (answered + failed) < 70 THEN 'low success rate' END, CASE WHEN throttled > answered * 0.1 THEN 'throttled' END,
+  CASE WHEN request_errors > answered * 0.1 THEN 'request errors' END, CASE WHEN timeouts > answered * 0.2 THEN 'timeouts' END], lambda x: x IS NOT NULL), ', ') END AS found
+FROM ({_STATS})"""
 )
 def error_diagnosis(spark, sf_dir):
-    a = _answers(spark, sf_dir)
-    pct = lambda c: 100.0 * F.count_if(c) / F.count(F.lit(1))
-    s = F.col("status")
-    r = a.groupBy("user_id").agg(F.avg("value").alias("t"), pct(s == 200).alias("ok"), pct(s == 429).alias("th"), pct(s.isNull()).alias("er"))
-    return r.select("user_id", F.array_join(E.diagnosis(F.col("t"), F.col("ok"), F.col("th"), F.col("er"), F.lit(0.0)), ", ").alias("found"))
+    names = ("mean_seconds", "answered", "failed", "throttled", "request_errors", "timeouts")
+    return _request_stats(spark, sf_dir).select("user_id", F.array_join(E.diagnosis(*map(F.col, names)), ", ").alias("found"))
 
 
 @query("SELECT event_id, round(avg(value) OVER w, 8) AS rolling_mean, max(value) OVER w AS rolling_max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
@@ -341,7 +363,7 @@ def ensemble_decisions(spark, sf_dir):
     rows = pages.select("page_id", f.alias("f"), page_title(F.col("html")).alias("title"))
     none = F.lit(None).cast("string")
     rows = rows.withColumn("x", T.classifier_text(F.col("title"), none, none, F.col("f.name")))
-    embedders = [hashed_embedding(64, s) for s in range(3)]
+    embedders = list(load_models({f"hashed-{k}": [lambda k=k: hashed_embedding(64, k)] for k in range(3)}).values())
     cats = spark.createDataFrame([(c.name, C.category_text(c)) for c in C.CATALOGUE if c.name != C.OTHER], "name string, about string").coalesce(1)
     vectors = [{r["name"]: r["v"] for r in cats.select("name", e("about").alias("v")).collect()} for e in embedders]
     boosts = rows.select("page_id", F.explode(C.rule_boosts(F.lower("x.text"), F.col("f.name"), F.col("f.tld"))).alias("b")).select("page_id", "b.*")
@@ -411,9 +433,9 @@ b AS (SELECT source, doc_id, list_concat(w, list_transform(range(1, len(w)), lam
 e AS (SELECT source AS topic, doc_id, term, count(*) AS n FROM (SELECT source, doc_id, unnest(t) AS term FROM b) GROUP BY ALL)"""
 
 
-@query(f"WITH {_TERMS} SELECT topic, term, CAST(sum(n) AS BIGINT) AS n, count(*) AS df FROM e GROUP BY topic, term HAVING count(*) >= 2")
+@query(f"WITH {_TERMS} SELECT topic, term, CAST(sum(n) AS BIGINT) AS n, count(*) AS df FROM e GROUP BY topic, term")
 def topic_terms(spark, sf_dir):
-    return P.terms(table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id", "text", "source").where(F.col("df") >= 2)
+    return P.terms(table(spark, sf_dir, "documents", "text", "source"), "text", "source")
 
 
 @query("SELECT source AS topic, count(*) AS document_count, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM documents GROUP BY source")
@@ -427,7 +449,7 @@ u AS (SELECT topic, list(upper(term[1]) || substr(term, 2) ORDER BY k) FILTER (W
 SELECT topic, CASE coalesce(len(w), 0) WHEN 0 THEN 'Mixed Content' WHEN 1 THEN w[1] || ' Related' WHEN 2 THEN w[1] || ' & ' || w[2] ELSE w[1] || ', ' || w[2] || ' & Others' END AS name FROM u"""
 )
 def topic_names(spark, sf_dir):
-    counts = P.terms(table(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id", "text", "source").where(~F.contains("term", F.lit(" ")))
+    counts = P.terms(table(spark, sf_dir, "documents", "text", "source"), "text", "source").where(~F.contains("term", F.lit(" ")))
     w = Window.partitionBy("topic").orderBy(F.desc("n"), "term")
     top = counts.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 4)
     words = top.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda r: r["term"]).alias("ks"))
@@ -439,8 +461,8 @@ def topic_discovery(spark, sf_dir):
     """Clusters embeddings, takes each member's document by id, and names the topics."""
     v = P.assign_topics(table(spark, sf_dir, "embeddings", F.col("vec_id").alias("doc_id"), "embedding"), "embedding")
     rows = v.select("doc_id", "topic").join(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
-    counts = P.terms(rows, "doc_id", "text", "topic")
-    words = P.keywords(P.weighted_terms(counts, rows.count()))
+    n = P.require_population(rows.count())
+    words = P.keywords(P.weighted_terms(P.terms(rows, "text", "topic"), n), hashed_embedding(64, 9))
     return P.topic_table(rows.groupBy("topic").agg(F.count(F.lit(1)).alias("document_count")), words)
 
 
@@ -469,7 +491,7 @@ def offline_fetch(spark, sf_dir):
             raise OSError
         return (429 if len(url) % 11 == 0 else 200), url + "/", 1, f"<title>{url}</title>"
 
-    got = fetch_pages(D.with_domain(table(spark, sf_dir, "pages", "url"), "url").select("domain"), fetcher)
+    got = fetch_pages(D.with_domain(table(spark, sf_dir, "pages", "url"), "url").select("domain"), fetcher, delay=None)
     return got.select("domain", "asked", "redirect_url", "status_code", "error", page_metadata(F.col("html")).alias("m")).select("domain", "asked", "redirect_url", "status_code", "error", "m.title")
 
 
@@ -485,16 +507,24 @@ def fetch_urls(spark, sf_dir):
     return pages.select("page_id", asked.alias("asked"), U.plain_http(asked).alias("plain"), U.redirect_url(asked, final, F.pmod("page_id", F.lit(3))).alias("redirect_url"))
 
 
+_LEVEL = "CASE WHEN {x} < {lo} THEN 'low' WHEN {x} > {hi} THEN 'high' ELSE 'normal' END AS {name}"
+
+
 @query(
-    """SELECT event_id, CASE WHEN cpu > 85 THEN 'cpu' WHEN mem > 90 THEN 'memory' WHEN con > 800 THEN 'connections' WHEN mb > 50 THEN 'network' WHEN cpu < 40 AND con < 300 THEN 'more workers possible' ELSE 'none' END AS found,
+    f"""SELECT event_id, {_LEVEL.format(x="c", lo=40, hi=85, name="cpu")}, {_LEVEL.format(x="m", lo=70, hi=90, name="memory")}, {_LEVEL.format(x="n", lo=300, hi=800, name="connections")},
+  {_LEVEL.format(x="b", lo=5, hi=50, name="throughput")},
+  CASE WHEN c < 50 AND m < 70 AND b < 20 THEN 'external' WHEN c > 80 THEN 'cpu' WHEN b > 30 THEN 'network' ELSE 'external, resources available' END AS found,
   CASE WHEN st = 429 THEN least(d * 1.5, 2.0) WHEN st = 200 THEN greatest(d * 0.95, 0.05) ELSE d END AS delay
-FROM (SELECT event_id, event_id % 97 AS cpu, event_id % 101 AS mem, event_id % 1009 AS con, event_id % 61 AS mb, CASE event_id % 3 WHEN 0 THEN 429 WHEN 1 THEN 200 ELSE 500 END AS st, CAST(event_id % 8 AS DOUBLE) / 4 AS d FROM events)"""
+FROM (SELECT event_id, event_id % 97 AS c, event_id % 101 AS m, event_id % 1009 AS n, event_id % 61 AS b, CASE event_id % 3 WHEN 0 THEN 429 WHEN 1 THEN 200 ELSE 500 END AS st, CAST(event_id % 8 AS DOUBLE) / 4 AS d FROM events)"""
 )
 def machine_bottlenecks(spark, sf_dir):
     i = F.col("event_id")
     m = lambda k: F.pmod(i, F.lit(k))
     status = F.when(m(3) == 0, 429).when(m(3) == 1, 200).otherwise(500)
-    return table(spark, sf_dir, "events", "event_id").select("event_id", E.bottleneck(m(97), m(101), m(1009), m(61)).alias("found"), E.adapted_delay(m(8).cast("double") / 4, status).alias("delay"))
+    rows = table(spark, sf_dir, "events", "event_id").select(
+        "event_id", E.resource_levels(m(97), m(101), m(1009), m(61)).alias("l"), E.bottleneck(m(97), m(101), m(61)).alias("found"), E.adapted_delay(m(8).cast("double") / 4, status).alias("delay")
+    )
+    return rows.select("event_id", "l.*", "found", "delay")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -529,3 +559,59 @@ FROM (SELECT doc_id, category, count(*) AS n, max(count(*)) OVER (PARTITION BY d
 )
 def vote_ties(spark, sf_dir):
     return C.vote_counts(_votes(spark, sf_dir), "doc_id").select(F.col("doc_id").alias("vec_id"), (F.col("n_tied") > 1).alias("conflict"), "n_tied")
+
+
+_KINDS = [c.name for c in C.CATALOGUE if c.name != C.OTHER]
+
+
+@query(
+    f"""WITH c AS (SELECT page_id, CASE WHEN page_id % 5 > 0 THEN 'x' END AS content, CASE WHEN page_id % 10 = 0 THEN 'Invalid domain' END AS error,
+  list_extract([{",".join("NULL" if x is None else repr(x) for x in _RESPONSES)}], CAST(page_id % 6 AS INTEGER) + 1) AS said FROM pages),
+k AS (SELECT *, trim(trim(trim(coalesce(said, '')), '"'), chr(39)) AS r FROM c),
+m AS (SELECT *, list_extract(list_filter({_NAMES[:-9]}], lambda x: contains(x, r) OR contains(r, x)), 1) AS hit FROM k)
+SELECT page_id, CASE WHEN content IS NOT NULL AND r <> '' AND hit IS NOT NULL THEN hit ELSE 'Other' END AS category,
+  CAST(CASE WHEN content IS NULL THEN 0.1 WHEN r <> '' AND hit IS NOT NULL THEN 0.8 ELSE 0.5 END AS DOUBLE) AS confidence,
+  CASE WHEN content IS NULL THEN coalesce(error, 'Failed to fetch content') ELSE 'Success' END AS status FROM m"""
+)
+def landing_labels(spark, sf_dir):
+    i = F.col("page_id")
+    said = F.element_at(F.array(*[F.lit(x) for x in _RESPONSES]), (F.pmod(i, F.lit(6)) + 1).cast("int"))
+    content, error = F.when(F.pmod(i, F.lit(5)) > 0, "x"), F.when(F.pmod(i, F.lit(10)) == 0, "Invalid domain")
+    return table(spark, sf_dir, "pages", "page_id").select("page_id", T.landing_label(content, error, said, _KINDS, C.OTHER).alias("m")).select("page_id", "m.*")
+
+
+@query(f"SELECT round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (WHERE confidence > 0.7) AS n_high, round(100.0 * count(*) FILTER (WHERE confidence > 0.7) / count(*), 6) AS high_pct FROM {_VOTES}")
+def overall_confidence(spark, sf_dir):
+    c = F.col("confidence")
+    return _votes(spark, sf_dir).agg(F.round(F.avg(c), 6).alias("mean_confidence"), F.count_if(c > 0.7).alias("n_high"), D.share(c > 0.7).alias("high_pct"))
+
+
+@query("SELECT count(DISTINCT t) FILTER (WHERE t <> -1) AS n_topics, count(*) FILTER (WHERE t = -1) AS n_outliers, round(100.0 * count(*) FILTER (WHERE t = -1) / count(*), 6) AS outlier_pct FROM (SELECT doc_id % 7 - 1 AS t FROM documents)")
+def topic_outliers(spark, sf_dir):
+    return P.outliers(table(spark, sf_dir, "documents", (F.pmod("doc_id", F.lit(7)) - 1).alias("topic")))
+
+
+@query(f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE {_TITLE} <> '') AS n_valid, round(100.0 * count(*) FILTER (WHERE {_TITLE} <> '') / count(*), 6) AS pct FROM pages")
+def valid_titles(spark, sf_dir):
+    return D.valid_share(table(spark, sf_dir, "pages", "html"), page_title(F.col("html")))
+
+
+@query(f"SELECT domain, count FROM ({_COUNTS}) ORDER BY count, domain DESC LIMIT 3")
+def rarest_domains(spark, sf_dir):
+    """The tail of the ranked counts: three rows are the feature."""
+    counts = D.domain_counts(table(spark, sf_dir, "pages", "url"), "url")
+    return D.tail(counts.withColumn("order", -F.col("count")), 3, "order", "domain").drop("order")
+
+
+@query(f"SELECT domain, page_id, row_number() OVER (ORDER BY page_id) AS place FROM (SELECT {_DOMAIN} AS domain, min(page_id) AS page_id FROM pages WHERE {_DOMAIN} IS NOT NULL GROUP BY 1) QUALIFY place <= 20")
+def fetched_in_order(spark, sf_dir):
+    """Fetched domains in the order of their first page, numbered; the first twenty, a report."""
+    asked = D.with_domain(table(spark, sf_dir, "pages", "page_id", "url"), "url").select("domain", "page_id")
+    got = fetch_pages(asked, lambda url: (200, url, 0, ""), delay=None).select("domain")
+    first = D.restore_order(got, asked, "domain", "page_id").limit(20)
+    return first.select("domain", "page_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("page_id")).cast("long").alias("place"))
+
+
+@query("SELECT event_id, round(avg(value) OVER w, 8) AS rolling_mean, max(value) OVER w AS rolling_max FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
+def rolling_mean_10(spark, sf_dir):
+    return E.rolling(table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value"), "user_id", ["ts", "event_id"], "value", 10).select("event_id", "rolling_mean", "rolling_max")

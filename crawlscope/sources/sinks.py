@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +28,33 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_file(spark, path: str, data: str) -> None:
+    """One file of any file system that Spark writes to, replacing what is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data.encode()))
+    finally:
+        out.close()
+
+
+def _named(topics: DataFrame, most: int) -> list:
+    rows = topics.orderBy("rank").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of over {most} topics")
+    return rows
+
+
+def export_json(topics: DataFrame, path: str, when: datetime, most: int = 10_000) -> None:
+    """One object: when, how many topics there are, and each in order of rank. Over `most` topics are an error."""
+    fields = ["topic_id", "name", "document_count", "keywords", "all_keywords"]
+    rows = [{f: r[f] for f in fields} for r in _named(topics, most)]
+    write_file(topics.sparkSession, path, json.dumps({"analysis_date": when.isoformat(), "total_categories": len(rows), "categories": rows}, indent=2))
 
 
-def topic_report(topics: DataFrame) -> DataFrame:
-    """Lines of the ranked report, in order: (rank, line)."""
-    line = F.concat(F.format_string("%2d. ", "rank"), "name", F.lit(" ("), F.format_number("document_count", 0), F.lit(" domains)\n     Keywords: "), F.array_join("keywords", ", "))
-    return topics.select("rank", line.alias("line")).orderBy("rank")
+def text_report(topics: DataFrame, path: str, when: datetime, most: int = 10_000) -> None:
+    """The ranked report: a head, then three lines for each topic. Over `most` topics are an error."""
+    rows = _named(topics, most)
+    head = ["DISCOVERED DOMAIN CATEGORIES", "=" * 50, "", f"Analysis Date: {when:%Y-%m-%d %H:%M:%S}", f"Total Categories: {len(rows)}", ""]
+    body = [x for r in rows for x in (f"{r['rank']:2d}. {r['name']}", f"     Documents: {r['document_count']:,}", f"     Keywords: {', '.join(r['keywords'])}", "")]
+    write_file(topics.sparkSession, path, "\n".join([*head, *body, ""]))

@@ -6,7 +6,6 @@ import pytest
 from crawlscope.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"ensemble_decisions", "topic_discovery"}
 
 
 def shown(df):
@@ -14,7 +13,7 @@ def shown(df):
     return sorted(map(repr, rows))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
