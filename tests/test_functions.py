@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from crawlscope.functions import text as T
 from crawlscope.functions import urls as U
-from crawlscope.functions.html import _content, _metadata
+from crawlscope.functions.html import _content, _metadata, page_title
 from crawlscope.operators import classify as C
 from crawlscope.operators import fetching as E
+from crawlscope.operators import topics as P
 
 
 def values(spark, column, rows, kind="string"):
@@ -78,3 +79,19 @@ def test_scores_and_decisions(spark):
 def test_delays(spark):
     df = spark.createDataFrame([(1.9, 429), (0.05, 200), (0.1, 404)], "d double, s int")
     assert [r[0] for r in df.select(E.adapted_delay(F.col("d"), F.col("s"))).collect()] == [2.0, 0.05, 0.1]
+
+
+def test_titles_decode_all_entities(spark):
+    pages = ["<title> caf&eacute; &#8211; &amp;lt; </title>", "<p>none</p>", None]
+    assert values(spark, page_title, pages) == ["café – &lt;", "", None]
+    assert _metadata(__import__("pandas").Series(pages[:1])).iloc[0].title == "café – &lt;"
+
+
+def test_small_helpers(spark):
+    assert values(spark, T.collapse, ["  a \n\u00a0 b "]) == ["a b"]
+    df = spark.createDataFrame([(None, "x"), ("n", "site.gr")], "a string, b string")
+    assert T.sniff_domain_column(df) == "b" and T.column_report(df)["domain"] is None
+    rows = spark.createDataFrame([("", None), (None, "d"), ("t", None)], "t string, d string")
+    assert [r[0] for r in rows.select(E.found_metadata(F.col("t"), F.col("d"))).collect()] == [False, True, True]
+    with pytest.raises(ValueError):
+        P.require_population(49)

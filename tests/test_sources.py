@@ -1,13 +1,18 @@
 import gzip
+import json
+import time
+from datetime import datetime
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from crawlscope.__main__ import main
 from crawlscope.operators import domains as D
-from crawlscope.sources.providers import ask_with_retry, fetch_pages
-from crawlscope.sources.readers import FLAT_SCHEMA, files_in_order, line_counts, read_jsonl
-from crawlscope.sources.sinks import append, export_csv, overwrite, read_evolved
-from crawlscope.streaming.ingest import ingest_domain_counts
+from crawlscope.sources.providers import Pace, ask_with_retry, fetch_pages, load_models
+from crawlscope.sources.readers import FLAT_SCHEMA, files_in_order, line_counts, read_jsonl, rejected_lines
+from crawlscope.sources.sinks import append, export_csv, export_json, overwrite, read_evolved, text_report
+from crawlscope.streaming.ingest import ingest_domain_counts, process_once
 
 LINES = '{"u":"http://a.gr/x"}\n{bad json\n[1,2]\n"str"\n\n{"u":5}\n{"u":null}\n{"u":"http://a.gr/","lang":3}\n{"text":"t"}\n{"u":"http://www.b.gr"}'
 
@@ -60,7 +65,7 @@ def test_fetch_ladder(spark):
             raise TimeoutError
         return 200, url, 0, "x"
 
-    got = {r.domain: (r.asked, r.status_code, r.error) for r in fetch_pages(spark.createDataFrame([("a.gr",), ("b.gr",), ("c.gr",), (None,), ("a.gr",)], "domain string"), fetcher).collect()}
+    got = {r.domain: (r.asked, r.status_code, r.error) for r in fetch_pages(spark.createDataFrame([("a.gr",), ("b.gr",), ("c.gr",), (None,), ("a.gr",)], "domain string"), fetcher, delay=None).collect()}
     assert got == {"a.gr": ("https://a.gr", 200, None), "b.gr": ("http://b.gr", 200, None), "c.gr": ("http://c.gr", None, "Timeout")}
 
 
@@ -94,3 +99,81 @@ def test_command_line(spark, tmp_path):
     got = spark.read.parquet(out)
     assert got.columns[:3] == ["f", "o", "s"] and got.columns[-1] == "text_char_count"
     assert {(r.u, r.text_char_count) for r in got.collect()} == {("http://a.gr/", 0), ("http://www.b.gr", 0), ("http://c.gr/home", 4)}
+
+
+def test_requests_overlap(spark):
+    def fetcher(url):
+        time.sleep(0.2)
+        return 200, url, 0, "x"
+
+    df = spark.createDataFrame([(f"d{i}.gr",) for i in range(60)], "domain string").coalesce(1)
+    seconds = {}
+    for n in (1, 20):
+        fetch_pages(df.limit(1), fetcher, partitions=1, in_flight=n, delay=None).collect()
+        began = time.perf_counter()
+        assert fetch_pages(df, fetcher, partitions=1, in_flight=n, delay=None).count() == 60
+        seconds[n] = time.perf_counter() - began
+    assert seconds[1] > 8 * seconds[20] - 6 and seconds[20] < 5 < 12 <= seconds[1]
+
+
+def test_strict_ladder_and_error_classes(spark):
+    def fetcher(url):
+        if "c.gr" in url:
+            raise ValueError
+        return (200 if url.startswith("http://www.") and "a.gr" in url else 404), url + "/", 1, "page"
+
+    ladder = lambda d: [p + d for p in ("https://", "http://", "https://www.", "http://www.")]
+    df = spark.createDataFrame([("a.gr",), ("b.gr",), ("c.gr",)], "domain string")
+    got = {r.domain: (r.asked, r.status_code, r.error, r.html) for r in fetch_pages(df, fetcher, ladder, accept=lambda s: s == 200, delay=None).collect()}
+    assert got == {"a.gr": ("http://www.a.gr", 200, None, "page"), "b.gr": ("http://www.b.gr", 404, "Status", None), "c.gr": ("http://www.c.gr", None, "Other", None)}
+
+
+def test_pace():
+    waits = []
+    pace = Pace(0.1, sleep=waits.append)
+    for status in (429, 200, 404):
+        pace.wait()
+        pace.saw(status)
+    for _ in range(20):
+        pace.saw(429)
+    pace.wait()
+    assert [round(w, 6) for w in waits] == [0.1, 0.15, 0.1425, 2.0]
+
+
+def test_model_chains():
+    def broken():
+        raise OSError("no file")
+
+    assert load_models({"a": [broken, lambda: 1], "b": [broken]}) == {"a": 1}
+    with pytest.raises(RuntimeError, match="b: no file"):
+        load_models({"b": [broken]})
+
+
+def test_reports(spark, tmp_path):
+    rows = [(3, "Mixed Content", 1200, ["a", "b"], ["a", "b", "c"], 1), (5, "Data Related", 7, [], [], 2)]
+    topics = spark.createDataFrame(rows, "topic_id int, name string, document_count long, keywords array<string>, all_keywords array<string>, rank int")
+    when = datetime(2024, 5, 6, 7, 8, 9)
+    export_json(topics, str(tmp_path / "t.json"), when)
+    got = json.loads((tmp_path / "t.json").read_text())
+    assert got["analysis_date"] == "2024-05-06T07:08:09" and got["total_categories"] == 2 and got["categories"][0] == {"topic_id": 3, "name": "Mixed Content", "document_count": 1200, "keywords": ["a", "b"], "all_keywords": ["a", "b", "c"]}
+    text_report(topics, str(tmp_path / "t.txt"), when)
+    assert (tmp_path / "t.txt").read_text().split("\n")[3:9] == ["Analysis Date: 2024-05-06 07:08:09", "Total Categories: 2", "", " 1. Mixed Content", "     Documents: 1,200", "     Keywords: a, b"]
+    with pytest.raises(ValueError):
+        text_report(topics, str(tmp_path / "t.txt"), when, most=1)
+
+
+def test_zstandard_and_rejected_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl.zst").write_bytes(zstandard.compress(LINES.encode()))
+    assert D.count_totals(D.domain_counts(read_jsonl(spark, str(tmp_path), FLAT_SCHEMA, "*.zst"), "u")).first()[:] == (2, 3)
+    (tmp_path / "b.txt").write_text(LINES)
+    assert rejected_lines(spark, str(tmp_path / "b.txt")).first()[:] == (9, 3)
+    assert files_in_order(spark, str(tmp_path), "*.txt").first().bytes == len(LINES)
+
+
+def test_each_new_table_is_processed_once(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    for k in range(2):
+        spark.range(3).select((F.col("id") + 10 * k).alias("a")).write.mode("append").parquet(src)
+        for _ in range(2):
+            process_once(spark, src, "a long", lambda df: df.withColumn("b", F.col("a") + 1), out, ck)
+        assert spark.read.parquet(out).count() == 3 * (k + 1)
