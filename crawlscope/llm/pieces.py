@@ -9,11 +9,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from crawlscope.llm.common import map_slices, release_memory
+from crawlscope.llm.common import release_memory, slices
 
 #: Where the public model file lies; a parameter of every function.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -64,6 +67,7 @@ class Vocabulary:
                 at = nodes[key]
             piece[at], log[at] = i, -np.log(r + shift) - total
         self.spelled = np.array([*self.bytes_of, b""], object)[:-1]
+        self.packed = pa.array(self.bytes_of, pa.large_binary())
         # An open-addressed table: a key lies at its place or one of the `probes` next ones.
         self.shift = np.uint64(64 - 20)
         self.keys, self.child = np.full((1 << 20) + 64, -1, np.int64), np.zeros((1 << 20) + 64, np.int32)
@@ -113,6 +117,12 @@ class Vocabulary:
         raw = b"".join(self.spelled[ids].tolist())
         return raw[1:].decode("utf-8", "surrogatepass")
 
+    def decode_each(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """What decode() gives for each run of ids from one of `cuts` to the next, in UTF-8: the spelled pieces lie in one buffer."""
+        _, ends, data = self.packed.take(pa.array(ids)).buffers()
+        raw, at = memoryview(data or b""), np.frombuffer(ends, np.int64, len(ids) + 1)[cuts].tolist()
+        return [bytes(raw[a + 1 : b]) for a, b in zip(at, at[1:], strict=False)]
+
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
@@ -417,31 +427,39 @@ def sample_pieces(
     exact says that decoding the ids gives the text back. Samples are seeded by the id and `seed`, so a retry or another
     partitioning gives the same; rows that repeat an id and text get equal samples. A null or empty text has one
     sample without pieces; short texts may have fewer segmentations than n_samples. Other columns are ignored. With
-    digest, ids is replaced by ids_sha256, of its little-endian 32-bit form.
+    digest, ids_sha256, of the little-endian 32-bit form of ids, and decoded_sha256, of what they decode to in UTF-8, follow.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    ids = "ids_sha256 string" if digest else "ids array<int>"
-    schema = f"id string, sample int, n_pieces int, {ids}, log_prob double, perturbed double, log_inclusion double, exact boolean"
+    schema = "id string, sample int, n_pieces int, ids array<int>, log_prob double, perturbed double, log_inclusion double, exact boolean"
+    schema += ", ids_sha256 string, decoded_sha256 string" if digest else ""
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         v = vocabulary(model)
-        for x in batches:
-            keys, texts = x["id"].to_list(), x["text"].to_list()
+        for x in slices(batches, 1024):
+            keys, texts = x.column("id").to_pylist(), x.column("text").to_pylist()
             seeds = [xxhash.xxh64_intdigest(str(k), seed) for k in keys]
             # Texts of some CHARS at a time (a longer one alone), so that memory follows neither batches nor long texts' number.
             part = np.cumsum([len(t or "") for t in texts]) // CHARS
             for lo, hi in zip(cuts := np.unique(part, return_index=True)[1], [*cuts[1:], len(texts)], strict=True):
-                rows = []
-                for key, text, got in zip(keys[lo:hi], texts[lo:hi], sample_segmentations(v, texts[lo:hi], seeds[lo:hi], n_samples), strict=True):
-                    for r, (pieces, log, value, inclusion) in enumerate(got):
-                        shown = hashlib.sha256(pieces.astype("<i4").tobytes()).hexdigest() if digest else pieces
-                        rows.append((key, r, len(pieces), shown, log, value, inclusion, v.decode(pieces) == (text or "")))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-                del rows, got
+                found = sample_segmentations(v, texts[lo:hi], seeds[lo:hi], n_samples)
+                rows = [(k, r, *s) for k, g in enumerate(found, lo) for r, s in enumerate(g)]
+                of, sample, pieces, *scores = zip(*rows, strict=True)
+                ids = np.concatenate(pieces).astype("<i4")
+                ends = np.append(0, np.cumsum([len(p) for p in pieces]))
+                told = v.decode_each(ids, ends)
+                want = [(t or "").encode("utf-8", "surrogatepass") for t in texts[lo:hi]]
+                cols = [[keys[k] for k in of], sample, np.diff(ends).astype(np.int32), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), *scores]
+                cols.append([t == want[k - lo] for t, k in zip(told, of, strict=True)])
+                if digest:
+                    cols += [[hashlib.sha256(r).hexdigest() for r in raw] for raw in (np.split(ids, ends[1:-1]), told)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+                del found, rows, pieces, cols
             release_memory()
 
     cols = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return map_slices(cols, run, schema, rows=1024).withColumn("id", F.col("id").cast(kind))
+    return cols.mapInArrow(run, schema).withColumn("id", F.col("id").cast(kind))
 
 
 def decode_pieces(pieces: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -457,6 +475,7 @@ def decode_pieces(pieces: DataFrame, ids_col: str = "ids", text_col: str = "text
 
 
 def op9_sentencepiece_sampling(spark, sf_dir: str) -> DataFrame:
+    """Both halves: the pieces that encode each whole text, and whether and to what (as a digest) they decode."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return sample_pieces(docs, digest=True).withColumnRenamed("id", "doc_id")
 

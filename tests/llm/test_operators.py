@@ -664,6 +664,21 @@ def test_pieces(spark, odd):
     assert pieces.sample_pieces(odd.limit(0)).count() == 0
 
 
+def test_pieces_query_gives_pieces_and_what_they_decode_to(spark, tmp_path):
+    """The rows hold the ids themselves, which the library's own decoder turns into the whole text, and the digest of their decoding."""
+    import sentencepiece
+
+    texts = {1: "A plain text, and a  wider\n\tone. " * 300, 2: "日本 é 🙂", 3: None, 4: "", 5: "a"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = pieces.op9_sentencepiece_sampling(spark, str(tmp_path)).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert {(r.doc_id, r.sample) for r in rows} == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (4, 0), (5, 0), (5, 1)}
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert model.decode(r.ids) == text and len(r.ids) == r.n_pieces and r.exact
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 # 10
 
 
