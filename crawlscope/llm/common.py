@@ -23,6 +23,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: By application, the folder that stands in for the cluster's where none is named; and the tables that save() has written.
 _OWN_DIR: dict[str, str] = {}
 _SAVED: list[DataFrame] = []
+#: Whether the shuffle files of an execution go when it ends, and not when the driver's memory is next collected.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The table is deleted by discard(), at the end of the scratch() that it was written in, or when the driver exits.
+    The table is deleted by discard(), at the end of the scratch() that it was written in, or when the driver exits. The shuffle files
+    of writing it, which nothing reads again, are deleted at once, so disk doesn't depend on when memory is collected.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     _SAVED.append(out)

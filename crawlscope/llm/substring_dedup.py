@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from crawlscope.llm.common import connected_components, in_blocks, jaccard_links, map_slices, save, slices
+from crawlscope.llm.common import connected_components, discard, in_blocks, jaccard_links, map_slices, save, slices
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words in a shingle.
@@ -256,8 +256,10 @@ def repeated_passages(
     each = rows.where("near = 1").groupBy("h").agg(F.min(F.struct("doc", "th", "at", "size")).alias("first"), F.max("doc").alias("hi"), F.first("keys").alias("keys"))
     each = save(each, "paragraphs-lines")
     keys = each.select("h", F.explode("keys").alias("key"))
-    collide = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where(F.col("a") < F.col("b")).select("key")
+    # A hash has a key once, so a count tells whether others have it. Written first, so that its shuffle is gone before the next.
+    collide = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "paragraphs-keys")
     met = save(keys.join(collide, "key"), "paragraphs-members")
+    discard(collide)
     some = each.join(met.select("h").distinct(), "h").select(F.col("first.doc").alias("doc"), F.col("first.th").alias("th"), F.struct("h", "first.at", "first.size").alias("p"))
     need = some.groupBy("doc", "th").agg(F.collect_list("p").alias("ps"))
 
@@ -276,8 +278,11 @@ def repeated_passages(
     cells = in_blocks(met, "key", "h", block).join(sets, "h")
     cells = cells.groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "side", "set")).alias("m"))
     comps = connected_components(jaccard_links(cells, similarity), "paragraphs-components")
+    discard(met)
+    discard(sets)
     found = comps.join(each.select(F.col("h").alias("node"), F.col("first.doc").alias("lo"), "hi"), "node")
     group = save(found.groupBy("component").agg(F.min("lo").alias("kept_doc"), F.max("hi").alias("hi")).where(F.col("kept_doc") < F.col("hi")).drop("hi"), "paragraphs-clusters")
+    discard(each)
     near = comps.join(group, "component").select(F.col("node").alias("h"), F.col("component").alias("cluster"), "kept_doc")
 
     hits = rows.select("doc", "th", "near", "at", "size", "h", "around").join(shared.withColumnRenamed("cluster", "h"), "h").where(F.col("doc") != F.col("kept.doc"))

@@ -752,6 +752,29 @@ def test_two_lazy_operators_keep_their_bounds(spark, monkeypatch):
         saved.count()
 
 
+def test_saved_tables_leave_no_shuffle_files(spark, tmp_path):
+    """save() deletes the shuffle files of its write itself, whether or not memory was collected, and leaves the session's setting."""
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    with common.scratch():
+        before = tracker.shuffleStatuses().size()
+        saved = common.save(spark.range(200_000).groupBy((F.col("id") % 1009).alias("k")).count(), "shuffle-test")
+        assert tracker.shuffleStatuses().size() <= before and saved.count() == 1009
+    assert spark.conf.get(common._DROP_SHUFFLES) == "false"
+
+
+def test_passages_keep_only_the_tables_that_the_result_reads(spark):
+    rng = np.random.default_rng(11)
+    shared = [" ".join(prose(rng, 60)) for _ in range(3)]
+    near = [shared[0], shared[0] + " and"]
+    df = docs(spark, [(i, f"{a}\n{b}", "s") for i, (a, b) in enumerate([(shared[1], near[0]), (shared[2], near[1]), (shared[1], "x")])])
+    with common.scratch():
+        before = len(common._SAVED)
+        got = substring_dedup.repeated_passages(df)
+        left = {x._saved_at.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in common._SAVED[before:]}
+        assert left == {"paragraphs", "paragraphs-shared", "paragraphs-components", "paragraphs-clusters", "block-sizes"}
+        assert {(r.doc, r.kept_doc) for r in got.collect()} == {(1, 0), (2, 0)}
+
+
 def test_removal_leaves_the_rest(spark):
     assert substring_dedup.without_words("a b c", []) == "a b c"
     assert substring_dedup.without_words("a b\nc d\n\ne  f", [(1, 3)]) == "a\n\ne  f"
