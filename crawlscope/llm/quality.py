@@ -66,6 +66,20 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ids, np.cumsum(count) - count, begin, shape
 
 
+def passages_by_parts(texts: list[str | None], size: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """passages(), of texts with some `size` characters at a time: what it needs beside its result, some 75 times the texts' size, follows
+    a part and not the whole list. Each text is read whole."""
+    ends = np.cumsum([len(t or "") for t in texts], dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), len(texts)]
+    parts, n_ids, n_passages = [], 0, 0
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        ids, first_id, begin, shape = passages(texts[lo:hi])
+        parts.append((ids, first_id + n_ids, begin + n_passages, shape))
+        n_ids, n_passages = n_ids + len(ids), n_passages + len(first_id)
+    ids, first_id, begin, shape = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return ids, first_id, begin, shape
+
+
 class AttentionMIL:
     """score = sigmoid(c . z + c0), z = sum a_k h_k, h_k = tanh(W x_k + b), a = softmax(w . (tanh(V h_k) * sigmoid(U h_k))).
 
@@ -130,7 +144,7 @@ class AttentionMIL:
         if not len(y) or y.min() == y.max():
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
-        ids, first_id, begin, shape = passages(texts)
+        ids, first_id, begin, shape = passages_by_parts(texts)
         self.mean, self.std = shape.mean(0), np.maximum(shape.std(0), 1e-3)
         ends, bag_ends = np.append(first_id[1:], len(ids)), np.append(begin[1:], len(first_id))
         rng = np.random.default_rng(self.seed)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -589,6 +590,20 @@ def test_passages_of_texts():
     assert np.array_equal(alone[0], ids[first_id[first[3]] : first_id[first[4]]])
 
 
+def test_fit_takes_texts_by_parts():
+    texts = [" \n ", *some_texts(20), "", None, " \n ", " lead", "one", LONG, "", "\tlast "]
+    for size in (1, 300, 5000, 1 << 30):
+        for a, b in zip(quality.passages_by_parts(texts, size), quality.passages(texts), strict=True):
+            assert a.dtype == b.dtype and np.array_equal(a, b)
+    # The driver's memory: what is made of the sample at once doesn't take many times its size.
+    many = some_texts(2000) * 5
+    tracemalloc.start()
+    quality.AttentionMIL().fit(many, np.arange(len(many)) % 2.0, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * sum(len(t.encode()) for t in many)
+
+
 def test_quality(spark, odd):
     clean = lambda i: " ".join(f"word{chr(97 + (i + k) % 26)}" for k in range(120)) + "."
     junk = lambda i: clean(i)[:300] + " @@@ ### !!! " * 60
