@@ -27,6 +27,21 @@ def test_query(spark, name):
         assert shown(rows) == shown(cur.fetchall())
 
 
+# Titles cut within an entity, names that only begin like one, entities of entities, and a title with none.
+TITLES = ["of the&amp;&amp;&amp", "ver&am", "a &ampfoo; b &notit; c&lt", "&amp;lt;x&amp;amp", "a&nbsp;b&nbsp;", "R&D &quot;x&quot; &#39;y&#39;", "plain", ""]
+
+
+@pytest.mark.parametrize("name", ["page_titles"])
+def test_titles_cut_within_entities(spark, tmp_path, name):
+    pages = [(i, f"https://www.site{i}.gr/p/{i}?q=1", f"<html><head><title>{t}</title></head><body>x &amp y</body></html>") for i, t in enumerate(TITLES)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    cols = sorted(df.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert shown([[r[c] for c in cols] for r in df.collect()]) == shown(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall())
+
+
 def test_the_rest_lives_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
