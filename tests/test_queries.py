@@ -31,7 +31,7 @@ def test_query(spark, name):
 TITLES = ["of the&amp;&amp;&amp", "ver&am", "a &ampfoo; b &notit; c&lt", "&amp;lt;x&amp;amp", "a&nbsp;b&nbsp;", "R&D &quot;x&quot; &#39;y&#39;", "plain", ""]
 
 
-@pytest.mark.parametrize("name", ["label_texts", "llm_labels", "metadata_extract", "page_titles"])
+@pytest.mark.parametrize("name", ["label_texts", "llm_labels", "metadata_extract", "page_titles", "text_features"])
 def test_titles_cut_within_entities(spark, tmp_path, name):
     pages = [(i, f"https://www.site{i}.gr/p/{i}?q=1", f"<html><head><title>{t}</title></head><body>x &amp y</body></html>") for i, t in enumerate(TITLES)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
