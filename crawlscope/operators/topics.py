@@ -32,12 +32,15 @@ def terms(df: DataFrame, text: str, topic: str) -> DataFrame:
     """(topic, term, n, df): one- and two-word terms of letters, without stop words; df counts rows that hold the term."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}]+"), lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
     rows = df.select(F.col(topic).alias("topic"), words.alias("w"))
-    rows = rows.withColumn("w2", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    rows = rows.select("topic", F.concat("w", "w2").alias("t"))
-    # A row is one document: its different terms count for df, all of them for n; both sums combine before the one exchange.
-    mark = lambda t, n, d: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("df")))
-    each = rows.select("topic", F.explode(F.concat(mark("t", 1, 0), mark(F.array_distinct("t"), 0, 1))).alias("x")).select("topic", "x.*")
-    return each.groupBy("topic", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    # The last word has no next one, so its pair is null.
+    pairs = F.transform("w", lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))
+    # A row is one document: in order, equal terms stand together, and the first of them counts for df. Exploded by the outer kind, as
+    # Spark puts a filter under the other that works out the whole array once more.
+    rows = rows.select("topic", F.sort_array(F.concat("w", pairs)).alias("t"))
+    each = rows.select("topic", "t", F.posexplode_outer("t").alias("i", "term")).where(F.col("term").isNotNull())
+    first = F.when(F.get("t", F.col("i") - 1) == F.col("term"), 0).otherwise(1)
+    # Both sums combine before the one exchange.
+    return each.select("topic", "term", first.alias("first")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("df"))
 
 
 def weighted_terms(counts: DataFrame, n_rows: int, min_df: int = 3, max_df: float = 0.95, most: int = 5000) -> DataFrame:

@@ -95,3 +95,19 @@ def test_small_helpers(spark):
     assert [r[0] for r in rows.select(E.found_metadata(F.col("t"), F.col("d"))).collect()] == [False, True, True]
     with pytest.raises(ValueError):
         P.require_population(49)
+
+
+def test_terms_are_worked_out_once(spark):
+    texts = [("a", "The cat, the cat sat: cat sat"), ("a", "cat x sat cat"), ("b", "Über"), ("b", ""), ("b", None), (None, "cat sat")]
+    df = P.terms(spark.createDataFrame(texts, "s string, x string"), "x", "s")
+    n, docs = {}, {}
+    for topic, text in texts:
+        words = [w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split() if len(w) > 1 and w not in P.STOP_WORDS]
+        each = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        for t in each:
+            n[topic, t] = n.get((topic, t), 0) + 1
+        for t in set(each):
+            docs[topic, t] = docs.get((topic, t), 0) + 1
+    assert {(r.topic, r.term): (r.n, r.df) for r in df.collect()} == {k: (n[k], docs[k]) for k in n}
+    # The words and their pairs: a filter that Spark infers from an explosion would work out both once more.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction(") == 2
