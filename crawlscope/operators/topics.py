@@ -45,6 +45,8 @@ def terms(df: DataFrame, text: str, topic: str) -> DataFrame:
 
 def weighted_terms(counts: DataFrame, n_rows: int, min_df: int = 3, max_df: float = 0.95, most: int = 5000) -> DataFrame:
     """(topic, term, weight): class-based TF-IDF of the `most` commonest terms that min_df rows and at most max_df of them hold."""
+    # Every count has a df: the condition makes both uses of the counts need the same columns, so Spark makes them once.
+    counts = counts.where(F.col("df") > 0)
     vocabulary = counts.groupBy("term").agg(F.sum("n").alias("all_n"), F.sum("df").alias("all_df")).where((F.col("all_df") >= min_df) & (F.col("all_df") <= max_df * n_rows))
     vocabulary = vocabulary.orderBy(F.desc("all_n"), "term").limit(most)
     kept = counts.join(F.broadcast(vocabulary), "term")

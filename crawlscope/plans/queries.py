@@ -462,7 +462,9 @@ def topic_discovery(spark, sf_dir):
     v = P.assign_topics(table(spark, sf_dir, "embeddings", F.col("vec_id").alias("doc_id"), "embedding"), "embedding")
     rows = v.select("doc_id", "topic").join(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
     n = P.require_population(rows.count())
-    words = P.keywords(P.weighted_terms(P.terms(rows, "text", "topic"), n), hashed_embedding(64, 9))
+    # Documents that have a vector may stand together in their file: dealt anew, by so many that a task's terms stay few at any size.
+    dealt = rows.repartition(n // 4096 + 8, "doc_id")
+    words = P.keywords(P.weighted_terms(P.terms(dealt, "text", "topic"), n), hashed_embedding(64, 9))
     return P.topic_table(rows.groupBy("topic").agg(F.count(F.lit(1)).alias("document_count")), words)
 
 

@@ -42,6 +42,17 @@ def test_titles_cut_within_entities(spark, tmp_path, name):
     assert shown([[r[c] for c in cols] for r in df.collect()]) == shown(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall())
 
 
+def test_topic_terms_are_dealt_evenly_and_counted_once(spark, tmp_path):
+    # Documents that have a vector stand in the first of several files.
+    spark.range(400).selectExpr("id AS vec_id", "transform(sequence(0, 7), i -> CAST(sin(id * (i + 1)) AS FLOAT)) AS embedding").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(2000).selectExpr("id AS doc_id", "concat_ws(' ', 'word', substr('abcdefgh', id % 7 + 1, 2), 'term') AS text").repartitionByRange(5, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["topic_discovery"](spark, str(tmp_path))
+    assert 0 < sum(r.document_count for r in df.collect()) <= 400
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert final.count("posexplode") == 1 and "REPARTITION_BY_NUM" in final
+
+
 def test_the_rest_lives_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
